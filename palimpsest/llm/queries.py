@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bfd_packing, exact_dedup, mixing, pow2_packing, quality, sharding, simhash, toxicity, warc
+from palimpsest.llm import bfd_packing, exact_dedup, mixing, pow2_packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -52,7 +56,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_sharding, op3_exact_dedup, op4_mixing, op5_quality, op6_simhash, op7_toxicity, op8_warc, op9_bfd_packing, op10_pow2_packing)
+    found = (op1_suffix_dedup, op2_sharding, op3_exact_dedup, op4_mixing, op5_quality, op6_simhash, op7_toxicity, op8_warc, op9_bfd_packing, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
