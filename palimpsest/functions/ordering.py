@@ -1,0 +1,25 @@
+"""Key order without one task that sees all keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that one ordered range should hold, and the most ranges that a plan names.
+RANGE_ROWS, MAX_RANGES = 200_000, 1000
+
+
+def bounds(df: DataFrame, key: str, rows: int, range_rows: int = RANGE_ROWS) -> list:
+    """Keys that split ``df`` into about rows / range_rows ranges (a bounded sample; it moves work, never results)."""
+    ranges = min(MAX_RANGES, -(-rows // range_rows))
+    if ranges <= 1:
+        return []
+    some = sorted(r[0] for r in df.select(key).sample(min(1.0, 50 * ranges / rows), seed=1).limit(100 * ranges).collect())
+    return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
+
+
+def range_of(key: Column, limits: list) -> Column:
+    """The number of bounds that are not beyond the key."""
+    if not limits:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= key))
