@@ -1,9 +1,7 @@
-"""Helpers that the training-data operators share: durable intermediates and gapless numbering."""
+"""Helpers that the training-data operators share: gapless numbering, rows by text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,35 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-#: Rows of one numbering block in :func:`dense_ids`; a block is sorted by one task.
-BLOCK_ROWS = 50_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none and none was set on its context (tests), a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
+from palimpsest.plans.shared import materialize, shared_dir
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+__all__ = ["dense_ids", "materialize", "one_row_each", "partitions_for", "shared_dir", "text_bytes"]
 
-    Cuts the lineage so that a lost executor costs a re-read and not a recomputation, and gives
-    Catalyst the true size of what follows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one numbering block in :func:`dense_ids`; a block is sorted by one task.
+BLOCK_ROWS = 50_000
 
 
 def text_bytes(df: DataFrame, *others: str, text: str = "text") -> DataFrame:
