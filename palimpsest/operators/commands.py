@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.cells import expiry_of, is_live
+from palimpsest.functions.cells import expiry_of, is_live, strip
 from palimpsest.functions.commands import BAD_TTL, parse, respond
 
 #: Rows of ``seq`` in a block: a key's history is walked block by block, so no task holds all of a hot key.
@@ -22,8 +22,7 @@ def with_previous(log: DataFrame, block: int = BLOCK) -> DataFrame:
     blocked = log.withColumn("_block", F.floor(F.col("seq") / block))
     within = Window.partitionBy("key", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     near = blocked.withColumn("_near", F.last_value(cell, True).over(within))
-    last = blocked.filter("mutates").groupBy("key", "_block").agg(F.max_by(F.struct("value", "expiry_ms"), "seq").alias("_last"))
-    held = blocked.select("key", "_block").distinct().join(last, ["key", "_block"], "left")
+    held = blocked.groupBy("key", "_block").agg(F.max_by(F.struct("value", "expiry_ms"), F.when(F.col("mutates"), F.col("seq"))).alias("_last"))
     earlier = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = held.select("key", "_block", F.last_value("_last", True).over(earlier).alias("_carry")).filter("_carry is not null")
     joined = near.join(carry, ["key", "_block"], "left")
@@ -42,7 +41,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
     A time to live beyond 64 bits of milliseconds is an error here, not a wrapped number.
     """
-    out = lines.withColumn("_c", parse(F.col("line"))).select(*lines.columns, "_c.*").filter("error is null or error <> 'empty command'")
+    out = lines.filter(strip(F.col("line")) != "").withColumn("_c", parse(F.col("line"))).select(*lines.columns, "_c.*")
     too_long = F.col("error").isNull() & (F.col("ttl_s") > 0) & expiry_of(F.col("ts_ms"), F.col("ttl_s")).isNull()
     return out.withColumn("error", F.when(too_long, F.lit(BAD_TTL)).otherwise(F.col("error")))
 
