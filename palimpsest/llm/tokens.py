@@ -2,28 +2,64 @@
 
 Most texts consist of characters for which the tokenizer's normalisation acts on each character by itself, and
 no token of its pattern spans white space. Such a text is lower-cased and cut at white space, and the ids
-of each piece are looked up; pieces not met yet go through the tokenizer once. Every other text goes
-through the tokenizer whole.
+of each piece are looked up; a piece not met yet is cut by the pattern, and words not met yet go through the
+tokenizer's own model. Every other text goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
-
-import numpy as np
+from array import array
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-#: Pieces that a worker keeps; at the limit it starts anew. A bound of memory only: results do not depend on it.
-CACHE = 300_000
+#: Pieces, and words, that a worker keeps; at the limit it starts anew. A bound of memory only: results do not depend on it.
+CACHE = 400_000
 #: Characters below U+0300 are normalised one by one; left out are control characters, other spaces,
 #: a letter that lower-cases to two, and the opening of special tokens' names.
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]|<\\|")
+#: The vocabulary's pattern for such lower-case text: fixed values of the tokenizer's file.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next beyond 255."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """word -> ids, by the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        found = self[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
+
+
+class _Pieces(dict):
+    """piece without white space -> ids."""
+
+    def __init__(self, tokenizer):
+        import regex
+
+        self.words, self.cut = _Words(tokenizer), regex.compile(_PATTERN).findall
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[piece] = b"".join(map(self.words.__getitem__, self.cut(piece)))
+        return found
 
 
 class Ids:
-    """``ids(texts)``: for each text an array of uint32 ids with ``END_ID`` appended; exactly the tokenizer's ids."""
+    """``of(text)``: little-endian 32-bit ids of a text, exactly the tokenizer's, without the end id."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,31 +70,16 @@ class Ids:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = os.path.basename(path) == VOCABULARY  # the rule above holds for its pattern
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        # the rules above hold for this vocabulary's normaliser and pattern
+        self.pieces = _Pieces(self.tokenizer) if os.path.basename(path) == VOCABULARY else None
 
     def of(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of one text, without the end id."""
-        if not self.by_word or _UNSAFE.search(text):
-            return self._whole(text)
-        pieces = text.lower().split()
-        cache = self.cache
-        new = set(pieces).difference(cache)
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = set(pieces)
-            waiting = iter(new)
-            while some := list(islice(waiting, 10_000)):
-                for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[piece] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
-
-
-_END = np.array([END_ID], np.uint32).tobytes()
+        if self.pieces is None or _UNSAFE.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+
+
+_END = array("I", [END_ID]).tobytes()
 _workers: dict[str | None, Ids] = {}
 
 
