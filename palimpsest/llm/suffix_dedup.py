@@ -33,7 +33,7 @@ from palimpsest.llm._shared import materialize, text_bytes
 
 LENGTH, GRAM = 100, 24
 #: Text bytes of a unit, of a class of anchor hashes, and of a class of segments (sizes of work, not limits).
-UNIT_BYTES, HASH_CLASS_BYTES, SEGMENT_CLASS_BYTES = 4_000_000, 32_000_000, 8_000_000
+UNIT_BYTES, HASH_CLASS_BYTES, SEGMENT_CLASS_BYTES = 4_000_000, 32_000_000, 2_000_000
 #: Window starts that are hashed at once.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
