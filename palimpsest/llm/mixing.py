@@ -17,7 +17,7 @@ from palimpsest.llm._shared import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: The hash has LEVELS x BITS bits; a level's histogram has 2^BITS buckets for each source.
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 6, 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
