@@ -91,7 +91,19 @@ def packed(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None
     null text is an empty one: the end id alone. Null doc_ids stay null; repeated rows are packed again; an empty
     table gives an empty result.
     """
+    return _rows(docs, row_length, tokenizer, window_ids, _as_matrix, SCHEMA)
 
+
+def digested(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None = None, window_ids: int = WINDOW_IDS) -> DataFrame:
+    """The rows of ``packed`` as (sequence_id, n_segments, n_tokens, n_resets, ids_crc32, cu_seqlens, doc_ids, starts).
+
+    The matrices are made and digested by the task that packs; ``n_resets`` counts the positions that are 0.
+    """
+    schema = "sequence_id long, n_segments long, n_tokens long, n_resets long, ids_crc32 long, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+    return _rows(docs, row_length, tokenizer, window_ids, _as_digest, schema)
+
+
+def _rows(docs: DataFrame, row_length: int, tokenizer: str | None, window_ids: int, form, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 33
@@ -103,20 +115,22 @@ def packed(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None
                 held += [(d, at, ids[at : at + n]) for at, n in segments(len(ids), row_length)]
                 waiting += len(ids)
                 if waiting >= window_ids:
-                    for out in _matrix(held, row_length, number):
-                        number += out.num_rows
-                        yield out
+                    for out in _matrices(held, row_length, number):
+                        number += len(out[0])
+                        yield form(*out)
                     held, waiting = [], 0
-        for out in _matrix(held, row_length, number):
-            number += out.num_rows
-            yield out
+        for out in _matrices(held, row_length, number):
+            number += len(out[0])
+            yield form(*out)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, SCHEMA)
+    return plain.mapInArrow(run, schema)
 
 
-def _matrix(held: list[tuple], row_length: int, first: int, at_once: int = 512) -> Iterator[pa.RecordBatch]:
+def _matrices(held: list[tuple], row_length: int, first: int, at_once: int = 512) -> Iterator[tuple]:
+    """(sequence ids, id matrix, position matrix, cumulative lengths, doc_ids, starts) of up to ``at_once`` rows."""
     rows = best_fit([len(x[2]) for x in held], row_length)
+    ramp = np.arange(row_length, dtype=np.int32)
     for at in range(0, len(rows), at_once):
         some = rows[at : at + at_once]
         ids = np.full((len(some), row_length), PAD_ID, np.uint32)
@@ -127,33 +141,33 @@ def _matrix(held: list[tuple], row_length: int, first: int, at_once: int = 512)
             for i in row:
                 n = len(held[i][2])
                 ids[k, end[-1] : end[-1] + n] = held[i][2]
-                positions[k, end[-1] : end[-1] + n] = np.arange(n)
+                positions[k, end[-1] : end[-1] + n] = ramp[:n]
                 end.append(end[-1] + n)
-            positions[k, end[-1] :] = np.arange(row_length - end[-1])
+            positions[k, end[-1] :] = ramp[: row_length - end[-1]]
             ends.append(end)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(first + at, first + at + len(some)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(ends, pa.list_(pa.int32())),
-                pa.array([x.tobytes() for x in positions], pa.binary()), pa.array([[held[i][0] for i in row] for row in some], pa.list_(pa.int64())), pa.array([[held[i][1] for i in row] for row in some], pa.list_(pa.int64())),
-            ],
-            ["sequence_id", "ids", "cu_seqlens", "positions", "doc_ids", "starts"],
-        )
+        yield list(range(first + at, first + at + len(some))), ids, positions, ends, [[held[i][0] for i in row] for row in some], [[held[i][1] for i in row] for row in some]
 
 
-def write(docs: DataFrame, path: str, **options) -> None:
-    """Write the packed matrix as Parquet: a file is a block of rows, ``ids`` and ``positions`` its fixed-width binary rows."""
-    packed(docs, **options).write.parquet(path)
+def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns.values()], list(columns))
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """(sequence_id, n_segments, n_tokens, n_resets, ids_crc32, cu_seqlens, doc_ids, starts) of packed rows."""
+def _as_matrix(number, ids, positions, ends, docs, starts) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    return _batch({
+        "sequence_id": (number, pa.int64()), "ids": ([x.tobytes() for x in ids], pa.binary()), "cu_seqlens": (ends, pa.list_(pa.int32())),
+        "positions": ([x.tobytes() for x in positions], pa.binary()), "doc_ids": (docs, longs), "starts": (starts, longs),
+    })
+
+
+def _as_digest(number, ids, positions, ends, docs, starts) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    return _batch({
+        "sequence_id": (number, pa.int64()), "n_segments": ([len(x) for x in docs], pa.int64()), "n_tokens": ([x[-1] for x in ends], pa.int64()),
+        "n_resets": ((positions == 0).sum(axis=1), pa.int64()), "ids_crc32": ([zlib.crc32(x) for x in ids], pa.int64()), "cu_seqlens": (ends, pa.list_(pa.int32())), "doc_ids": (docs, longs), "starts": (starts, longs),
+    })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            resets = [int((np.frombuffer(x, np.int32) == 0).sum()) for x in b.column("positions").to_pylist()]
-            crc = [zlib.crc32(x) for x in b.column("ids").to_pylist()]
-            keep = [b.column(c) for c in ("sequence_id", "cu_seqlens", "doc_ids", "starts")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(resets, pa.int64()), pa.array(crc, pa.int64())], ["sequence_id", "cu_seqlens", "doc_ids", "starts", "n_resets", "ids_crc32"])
 
-    found = rows.mapInArrow(run, "sequence_id long, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, n_resets long, ids_crc32 long")
-    return found.select("sequence_id", F.size("doc_ids").cast("long").alias("n_segments"), F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"), "n_resets", "ids_crc32", "cu_seqlens", "doc_ids", "starts")
+def write(docs: DataFrame, path: str, **options) -> None:
+    """Write the packed matrix as Parquet: a file is a block of rows, ``ids`` and ``positions`` its fixed-width binary rows."""
+    packed(docs, **options).write.parquet(path)

@@ -48,7 +48,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bfd_packing.digest(bfd_packing.packed(_table(spark, sf_dir, "documents")))
+    return bfd_packing.digested(_table(spark, sf_dir, "documents"))
 
 
 def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
