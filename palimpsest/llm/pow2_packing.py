@@ -11,13 +11,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import dense_ids, materialize
+from palimpsest.llm._shared import materialize
 from palimpsest.llm.tokens import document_ids
 
 MAX_LENGTH = 2048
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "place")
 
 
 def pieces(n: int, longest: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -35,45 +37,45 @@ def pieces(n: int, longest: int = MAX_LENGTH) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, longest: int = MAX_LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every row, with their ids if asked for.
+    """(doc_id, start, length, ids_crc32, doc_tokens, task, place[, ids]): the pieces of every row, with their ids if asked for.
 
-    A null text is an empty one: the end id alone.
+    ``place`` numbers a task's pieces of one length. A null text is an empty one: the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        places: dict[int, int] = {}
         for b in batches:
-            doc, start, length, crc, total, held = [], [], [], [], [], []
+            rows: list[tuple] = []
+            held: list[bytes] = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = document_ids(text, tokenizer)
                 n = len(ids) // 4
                 for at, width in pieces(n, longest):
                     piece = ids[4 * at : 4 * (at + width)]
-                    doc.append(d)
-                    start.append(at)
-                    length.append(width)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
+                    place = places[width] = places.get(width, -1) + 1
+                    rows.append((d, at, width, zlib.crc32(piece), n, task, place))
                     if with_ids:
                         held.append(piece)
-            columns = {"doc_id": doc, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total}
-            arrays = [pa.array(x, pa.int64()) for x in columns.values()] + ([pa.array(held, pa.binary())] if with_ids else [])
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "ids"][: len(arrays)])
+            arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COLUMNS))]
+            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(held, pa.binary())] if with_ids else []), [*COLUMNS, *(["ids"] if with_ids else [])])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else ""))
+    return plain.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS) + (", ids binary" if with_ids else ""))
 
 
 def packed(docs: DataFrame, longest: int = MAX_LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row for each piece of each row.
 
-    A sequence holds one piece, at offset 0. Sequence ids have no gaps; the longest bucket comes first.
-    Repeated rows give repeated pieces in sequences of their own; null doc_ids are kept; an empty
+    A sequence holds one piece, at offset 0. Sequence ids have no gaps; the longest bucket comes first, within a
+    bucket the tasks that cut the pieces follow each other: only their counts are summed, no piece is
+    moved. Repeated rows give repeated pieces in sequences of their own; null doc_ids are kept; an empty
     table gives an empty result. ``ids`` are little-endian unsigned 32-bit.
     """
     found = materialize(cut(docs, longest, tokenizer, with_ids), "pieces")
-    per = found.groupBy("length").count()
-    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    first = materialize(per.select("length", F.coalesce(F.sum("count").over(longer), F.lit(0)).alias("first")), "buckets")
-    numbered = dense_ids(found, ["length"], ["doc_id", "start", "ids_crc32"], "in_bucket", found.count(), 12)
-    out = numbered.join(first, "length").withColumn("sequence_id", F.col("first") + F.col("in_bucket"))
+    per = found.groupBy("length", "task").count()
+    before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each length and task
+    first = materialize(per.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")), "buckets")
+    out = found.join(first, ["length", "task"]).withColumn("sequence_id", F.col("first") + F.col("place"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
