@@ -52,8 +52,8 @@ def until_quit(commands: DataFrame) -> DataFrame:
     return commands.join(first, F.col("conn") == F.col("_conn"), "left").filter("_quit is null or seq <= _quit").drop("_conn", "_quit")
 
 
-def evaluate(commands: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(seq, verb, key, response, hit) of parsed commands, all against one store that starts empty.
+def evaluate(commands: DataFrame, block: int = BLOCK, before: DataFrame | None = None) -> DataFrame:
+    """(seq, verb, key, response, hit) of parsed commands, all against one store that starts with ``before`` (key, value, expiry_ms; default: empty).
 
     A failed command changes nothing; a GET sees the last mutation of its key at its own time; ``hit`` is set for GET and DEL.
     """
@@ -62,8 +62,13 @@ def evaluate(commands: DataFrame, block: int = BLOCK) -> DataFrame:
         "seq", "ts_ms", "verb", "error", F.col("key"), (ok & F.col("verb").isin("SET", "DEL")).alias("mutates"),
         F.when(F.col("verb") == "SET", F.col("value")).alias("value"), F.when(F.col("verb") == "SET", expiry_of(F.col("ts_ms"), F.col("ttl_s"))).otherwise(F.lit(0)).cast("long").alias("expiry_ms"),
     )
+    if before is not None:  # as mutations before all others, at most one a key
+        first = commands.agg(F.min("seq")).scalar() - 1
+        blank = {"ts_ms": "long", "verb": "string", "error": "string"}
+        held = before.select(first.alias("seq"), *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "key", F.lit(True).alias("mutates"), "value", "expiry_ms")
+        cells = cells.unionByName(held)
     keyed, rest = cells.filter("key is not null"), cells.filter("key is null").withColumn("prev", F.lit(None).cast("struct<value: string, expiry_ms: bigint>"))
     seen = with_previous(keyed, block).unionByName(rest)
     alive: Column = F.coalesce(is_live(F.col("prev.value"), F.col("prev.expiry_ms"), F.col("ts_ms")), F.lit(False))
     response = respond(F.col("verb"), F.col("error"), F.when(alive, F.col("prev.value")), alive)
-    return seen.select("seq", "verb", "key", response.alias("response"), F.when(ok & F.col("verb").isin("GET", "DEL"), alive).alias("hit"))
+    return seen.filter("verb is not null").select("seq", "verb", "key", response.alias("response"), F.when(ok & F.col("verb").isin("GET", "DEL"), alive).alias("hit"))
