@@ -116,16 +116,16 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
     held = binned.join(one, binned["doc_id"] == one["id"])
     long = held.select("stratum", (F.col("q") > 0).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
     table = long.groupBy("stratum", "good", "x.rule", "x.bin").count().collect()
-    strata = sorted({r.stratum for r in table})
-    level = delta / max(1, len(strata) * len(RULES) * GRID)
+    seen = {(s, rule): (np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)) for s in {r.stratum for r in table} for rule in RULES}
+    for r in table:
+        seen[(r.stratum, r.rule)][0 if r.good else 1][r.bin] += r["count"]
+    strata = sorted({s for s, _ in seen})
+    level = delta / max(1, len(seen) * GRID)
     out = []
     for s in strata:
         chosen = {}
         for rule in RULES:
-            good, bad = np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)
-            for r in table:
-                if (r.stratum, r.rule) == (s, rule):
-                    (good if r.good else bad)[r.bin] += r["count"]
+            good, bad = seen[(s, rule)]
             # bin b exceeds cutoffs 0 .. b - 1: cutoff j rejects the bins above j
             for j in range(GRID):
                 if certified(int(good[j + 1 :].sum()), int(good.sum()), risk / len(RULES), level):
