@@ -52,10 +52,10 @@ def brute_suffix(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("unit_bytes", [1, 3000, 10_000_000])
-def test_suffix_dedup(spark, unit_bytes):
+@pytest.mark.parametrize(("unit_bytes", "hot"), [(1, 4096), (3000, 4), (10_000_000, 2), (10_000_000, 4096)])
+def test_suffix_dedup(spark, unit_bytes, hot):
     rows = awkward()
-    got = suffix_dedup.removed(frame(spark, rows), unit_bytes=unit_bytes).collect()
+    got = suffix_dedup.removed(frame(spark, rows), unit_bytes=unit_bytes, hot=hot).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_suffix(rows)))
 
 
