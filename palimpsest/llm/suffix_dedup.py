@@ -14,16 +14,20 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier i
    a final bucket but the first repeat earlier text.
 4. The marks return to their units, where the remaining bytes are assembled.
 
-Equal segments within a unit are sent once, so a passage that is everywhere costs a row per unit.
+Equal segments within a unit are sent once, so a passage that is everywhere costs a row per unit. An anchor that
+occurs very often between ever new texts is hot: its windows are dealt one by one, by a hash of their content.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,10 +38,14 @@ from palimpsest.llm._shared import materialize, text_bytes
 LENGTH, GRAM = 100, 24
 #: Text bytes of a unit, of a class of anchor hashes, and of a class of segments (sizes of work, not limits).
 UNIT_BYTES, HASH_CLASS_BYTES, SEGMENT_CLASS_BYTES = 4_000_000, 32_000_000, 2_000_000
+#: Occurrences from which an anchor is hot: its windows are dealt by their own content.
+HOT = 4096
 #: Window starts that are hashed at once.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
+#: Bits of a hash that name an anchor.
+_NAME = ~_U(15)
 
 
 # --------------------------------------------------------------------------- anchors
@@ -234,35 +242,38 @@ def later_copies(found: DataFrame, length: int) -> DataFrame:
     return materialize(later.groupBy("unit").agg(F.collect_list("ord").alias("skip")), "skips")
 
 
-def repeated_anchors(found: DataFrame, classes: int, length: int, gram: int) -> DataFrame:
-    """(unit, cls, bits): which of the unit's distinct anchor hashes of a class, in order, occur twice in the corpus.
+def repeated_anchors(found: DataFrame, classes: int, length: int, gram: int, hot: int = HOT) -> DataFrame:
+    """(unit, cls, bits, hot): which of the unit's distinct anchor hashes of a class, in order, occur twice in the corpus, and which at least ``hot`` times.
 
-    ``found``: units with ``skip``.
+    ``found``: units with ``skip``. The lowest four bits of a hash that is sent are the length of its count in the unit.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for unit, sizes, body, skip in zip(*(b.column(c).to_pylist() for c in ("unit", "sizes", "body", "skip")), strict=True):
-                h, n = np.unique(Unit(sizes, body, skip).segments(length, gram)[1] & ~_U(1), return_counts=True)
+                h, n = np.unique(Unit(sizes, body, skip).segments(length, gram)[1] & _NAME, return_counts=True)
                 cls = _hash_classes(h, classes)
                 order = np.argsort(cls, kind="stable")
-                h = (h | (n > 1).astype(_U))[order]  # the lowest bit: twice in this unit already
+                h = (h | np.minimum(np.frexp(n.astype(float))[1], 15).astype(_U))[order]
                 cls = cls[order]
                 cut = np.flatnonzero(np.r_[True, np.diff(cls) != 0]) if len(h) else []
                 parts = [p.tobytes() for p in np.split(h, cut[1:])] if len(h) else []
                 yield pa.RecordBatch.from_arrays([pa.array([unit] * len(parts), pa.int64()), pa.array(cls[cut] if len(h) else [], pa.int64()), pa.array(parts, pa.binary())], ["unit", "cls", "hashes"])
 
-    def twice(table: pa.Table) -> pa.Table:
+    def often(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, _U) for x in table.column("hashes").to_pylist()]
         every = np.concatenate(parts)
-        _, inverse, n = np.unique(every & ~_U(1), return_inverse=True, return_counts=True)
-        hit = (n[inverse] > 1) | ((every & _U(1)) > 0)
-        bits = [np.packbits(x) if x.any() else None for x in np.split(hit, np.cumsum([len(p) for p in parts])[:-1])]
-        out = pa.table({"unit": table.column("unit"), "cls": table.column("cls"), "bits": pa.array([None if x is None else x.tobytes() for x in bits], pa.binary())})
+        _, inverse = np.unique(every & _NAME, return_inverse=True)
+        n = np.bincount(inverse, np.exp2((every & ~_NAME).astype(float) - 1))[inverse]  # no more than there are
+        masks = []
+        for least in (2, hot):
+            hit = np.split(n >= least, np.cumsum([len(p) for p in parts])[:-1])
+            masks.append(pa.array([np.packbits(x).tobytes() if x.any() else None for x in hit], pa.binary()))
+        out = pa.table({"unit": table.column("unit"), "cls": table.column("cls"), "bits": masks[0], "hot": masks[1]})
         return out.filter(out.column("bits").is_valid())
 
     made = found.select("unit", "sizes", "body", "skip").mapInArrow(anchors, "unit long, cls long, hashes binary")
-    return made.groupBy("cls").applyInArrow(twice, "unit long, cls long, bits binary")
+    return made.groupBy("cls").applyInArrow(often, "unit long, cls long, bits binary, hot binary")
 
 
 def marked(found: DataFrame, hash_classes: int, segment_classes: int, length: int, gram: int) -> DataFrame:
@@ -273,35 +284,46 @@ def marked(found: DataFrame, hash_classes: int, segment_classes: int, length: in
             for unit, ids, sizes, body, skip, masks in zip(*(b.column(c).to_pylist() for c in ("unit", "doc_ids", "sizes", "body", "skip", "masks")), strict=True):
                 u = Unit(sizes, body, skip)
                 doc, h, first, count = u.segments(length, gram)
-                distinct = np.unique(h & ~_U(1))
+                distinct = np.unique(h & _NAME)
                 cls = _hash_classes(distinct, hash_classes)
-                keep = np.zeros(len(distinct), bool)
+                keep, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
                 for m in masks:
                     of = np.flatnonzero(cls == m["cls"])
                     keep[of] = np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: len(of)]
-                used = np.flatnonzero(keep[np.searchsorted(distinct, h & ~_U(1))])
-                used = used[np.lexsort((first[used], doc[used], [-(2**63) if ids[d] is None else ids[d] for d in doc[used]]))]
+                    if m["hot"] is not None:
+                        hot[of] = np.unpackbits(np.frombuffer(m["hot"], np.uint8))[: len(of)]
+                at = np.searchsorted(distinct, h & _NAME)
+                few, many = np.flatnonzero(keep[at] & ~hot[at]), np.flatnonzero(hot[at])
+                # windows of a hot anchor part company: each is a segment of its own, dealt by its content
+                doc = np.concatenate([doc[few], np.repeat(doc[many], count[many])])
+                first = np.concatenate([first[few], _spread(first[many], count[many])])
+                route = np.concatenate([h[few], np.zeros(len(first) - len(few), _U)])
+                alone = np.arange(len(first)) >= len(few)
+                count = np.concatenate([count[few], np.ones(len(first) - len(few), np.int64)])
                 seen: set[bytes] = set()
                 sent, local = [], []
-                for i in used.tolist():
+                for i in np.lexsort((first, doc, [-(2**63) if ids[d] is None else ids[d] for d in doc])).tolist():
                     a, z = int(first[i]), int(first[i] + count[i]) + length - 1
                     piece = u.text[a:z].tobytes()
                     if piece in seen:
-                        local.append((doc[i], a - u.starts[doc[i]], z - u.starts[doc[i]]))
+                        local.append((int(doc[i]), a - int(u.starts[doc[i]]), z - int(u.starts[doc[i]])))
                     else:
                         seen.add(piece)
                         sent.append(i)
+                        if alone[i]:
+                            route[i] = xxhash.xxh64_intdigest(piece)
                 rows = []
-                if local:  # a class of its own, only passed on
-                    rows.append((unit, -1 - unit % segment_classes, None, None, None, None, None, np.array(local, np.int32).tobytes()))
+                if local:  # a class of its own, only passed on; runs are joined, or a periodic text would mark each of its bytes
+                    runs = [(d, *span) for d, marks in groupby(sorted(local), itemgetter(0)) for span in _union([m[1:] for m in marks])]
+                    rows.append((unit, -1 - unit % segment_classes, None, None, None, None, None, np.array(runs, np.int32).tobytes()))
                 sent = np.array(sent, np.int64)
-                where = (h[sent] % _U(segment_classes)).astype(np.int64)
+                where = (route[sent] % _U(segment_classes)).astype(np.int64)
                 sent = sent[np.argsort(where, kind="stable")]
                 where = np.sort(where)
                 for part in np.split(sent, np.flatnonzero(np.diff(where)) + 1) if len(sent) else []:
                     text = b"".join(u.text[first[i] : first[i] + count[i] + length - 1].tobytes() for i in part)
                     text = zstandard.ZstdCompressor(1).compress(text)
-                    rows.append((unit, int(h[part[0]] % _U(segment_classes)), [ids[d] for d in doc[part]], doc[part].tolist(), (first[part] - u.starts[doc[part]]).tolist(), count[part].tolist(), text, None))
+                    rows.append((unit, int(route[part[0]] % _U(segment_classes)), [ids[d] for d in doc[part]], doc[part].tolist(), (first[part] - u.starts[doc[part]]).tolist(), count[part].tolist(), text, None))
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
                 names = ["unit", "cls", "ids", "docs", "firsts", "counts", "text", "marks"]
                 for at in range(0, len(rows), 1000):
@@ -334,7 +356,7 @@ def marked(found: DataFrame, hash_classes: int, segment_classes: int, length: in
     return sent.groupBy("cls").applyInArrow(refine, "unit long, marks binary")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes: int = UNIT_BYTES, with_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes: int = UNIT_BYTES, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]), a row for each row of ``docs``.
 
     ``spans``: (start, end) of the maximal removed runs of bytes; ``kept``: the remaining bytes. Null text: empty. Null
@@ -345,8 +367,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes:
     total = found.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     hash_classes, segment_classes = max(16, -(-total // HASH_CLASS_BYTES)), max(32, -(-total // SEGMENT_CLASS_BYTES))
     skips = later_copies(found, length)
-    anchors = repeated_anchors(found.drop("doc_ids", "keys").join(skips, "unit", "left"), hash_classes, length, gram)
-    masks = materialize(anchors.groupBy("unit").agg(F.collect_list(F.struct("cls", "bits")).alias("masks")).join(skips, "unit", "left"), "masks")
+    anchors = repeated_anchors(found.drop("doc_ids", "keys").join(skips, "unit", "left"), hash_classes, length, gram, hot)
+    masks = materialize(anchors.groupBy("unit").agg(F.collect_list(F.struct("cls", "bits", "hot")).alias("masks")).join(skips, "unit", "left"), "masks")
     marks = marked(found.drop("keys").join(masks, "unit"), hash_classes, segment_classes, length, gram)
     marks = materialize(marks, "marks").groupBy("unit").agg(F.collect_list("marks").alias("marks"))
     last = found.drop("keys").join(skips, "unit", "left").join(marks, "unit", "left")
@@ -375,7 +397,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes:
     return last.mapInArrow(assemble, schema)
 
 
-def _union(spans: list[list[int]]) -> list[tuple[int, int]]:
+def _union(spans: list[Sequence[int]]) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans; touching ones become one."""
     out: list[tuple[int, int]] = []
     for a, z in spans:
