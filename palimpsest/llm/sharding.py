@@ -26,7 +26,7 @@ ROW_BYTES = 16
 #: A group is large if it holds more than 1 / (shards x this) of all bytes: at most shards x this groups.
 LARGE = 500
 #: Mean groups of a class: what one task differences at once.
-CLASS_GROUPS = 15_000
+CLASS_GROUPS = 2_000
 
 
 def difference(sizes: np.ndarray, shards: int, first: np.ndarray | None = None) -> np.ndarray:
@@ -122,7 +122,7 @@ def placed(groups: DataFrame, shards: int) -> DataFrame:
         held[r.shard] = r.held
     lack = _level(held, total) - held
     lack = np.maximum(lack, 0.0)
-    classes = max(16, -(-count // CLASS_GROUPS))
+    classes = max(1, -(-count // CLASS_GROUPS))
 
     def light(table: pa.Table) -> pa.Table:
         table = table.sort_by([("total", "descending"), ("key", "ascending")])
