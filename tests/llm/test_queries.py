@@ -1,0 +1,62 @@
+"""The registered queries: columns and rows of their contracts, over whole tables."""
+
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
+from test_dedup import awkward, brute_exact, brute_fingerprint, brute_suffix, classes
+
+from palimpsest.llm import queries
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op2_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op3_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+    "op4_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op5_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op6_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op10_pow2_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_columns_and_rows(spark, name):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+    got = queries.queries()[name](spark, SF)
+    assert dict(got.dtypes) == COLUMNS[name]
+    ids = Counter(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    found = Counter(r.doc_id for r in got.select("doc_id").collect())
+    assert found.keys() == ids.keys() and (name == "op10_pow2_packing" or found == ids)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    if not Path(SF).exists():
+        pytest.skip("no test data")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = queries.queries()[name](spark, SF)
+    expected = c.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected.select(*got.columns).fetchall()))
+
+
+def test_queries_over_awkward_documents(spark, tmp_path):
+    rows = awkward(7)
+    docs = spark.createDataFrame([(i, t, None, "s", None, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(rows[0][0], 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {name: q(spark, str(tmp_path)).collect() for name, q in queries.queries().items()}
+    text = lambda found: sorted(map(repr, map(tuple, found)))
+    stored = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    assert text(got["op1_suffix_dedup"]) == text(brute_suffix(stored))
+    assert text(got["op3_exact_dedup"]) == text(brute_exact(rows))
+    prints = [(i, brute_fingerprint(t)) for i, t in rows]
+    assert text(got["op6_simhash"]) == text([(i, f"{p:016x}", c) for (i, p), c in zip(prints, classes(prints), strict=True)])
+    for name in ("op2_sharding", "op4_mixing", "op5_quality", "op7_toxicity"):
+        assert Counter(r.doc_id for r in got[name]) == Counter(i for i, _ in rows)
+    assert len(got["op8_warc"]) == 2
