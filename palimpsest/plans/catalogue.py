@@ -11,7 +11,7 @@ from palimpsest.functions import cells, codec
 from palimpsest.operators import commands, flush, load_report, runs, snapshot
 from palimpsest.plans.shared import new_path
 from palimpsest.plans.store import Store
-from palimpsest.sources import events, wal
+from palimpsest.sources import events, run_bytes, wal
 from palimpsest.sources import runs as run_files
 from palimpsest.streaming import ingest
 
@@ -247,6 +247,18 @@ def kv_run_offsets(spark, sf_dir):
 ORACLE["kv_run_offsets"] = f'WITH {_ORDERS} SELECT key, CAST("offset" AS BIGINT) AS "offset" FROM orders_run'
 
 
+@query()
+def kv_run_file_roundtrip(spark, sf_dir):
+    """The orders' run is written as binary files with index and footer, and read again."""
+    path, schema = _orders_run(spark, sf_dir)
+    files = run_bytes.encoded(run_files.read(spark, path, schema).withColumn("expiry_ms", F.lit(0).cast("long")), files=4)
+    back = run_bytes.decoded(files)
+    return back.select(cells.utf8(F.col("key")).alias("key"), cells.utf8(F.col("value")).alias("value"), "expiry_ms")
+
+
+ORACLE["kv_run_file_roundtrip"] = "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value, CAST(0 AS BIGINT) AS expiry_ms FROM orders"
+
+
 @query()
 def kv_index_floor(spark, sf_dir):
     """Every order key of the line items is looked for, with a suffix that no key has."""

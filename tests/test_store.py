@@ -10,7 +10,7 @@ from palimpsest.functions import cells, codec
 from palimpsest.operators import load_report, runs, snapshot
 from palimpsest.plans.store import Store
 from palimpsest.schema import MUTATION
-from palimpsest.sources import lines, wal, workload
+from palimpsest.sources import lines, run_bytes, wal, workload
 from palimpsest.sources import runs as run_files
 from palimpsest.streaming import ingest
 
@@ -201,3 +201,42 @@ def test_stream_into_store_and_live_view(spark, tmp_path):
     q = ingest.newest(stream()).writeStream.outputMode("complete").format("memory").queryName("live_view").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(bytes(r.key), r.seq) for r in spark.table("live_view").collect()} == {(b"a", 2), (b"b", 1)}
+
+
+# --------------------------------------------------------------------------- exchange with binary files
+def test_run_file(spark):
+    m = log(spark, [(f"key-{i:05d}".encode(), None if i == 7 else f"value-{i}".encode(), i) for i in range(101)])
+    (one,) = run_bytes.encoded(m, 1).collect()
+    content = bytes(one.content)
+    assert [r[1:] for r in run_bytes.records(content)] == [(f"key-{i:05d}".encode(), None if i == 7 else f"value-{i}".encode(), i) for i in range(101)]
+    entries = run_bytes.index(content)
+    assert [k for k, _ in entries] == [f"key-{i:05d}".encode() for i in (0, 32, 64, 96)]
+    assert all(content[at + 4 : at + 4 + len(k)] == k for k, at in entries)
+    assert [*run_bytes.records(run_bytes.join([]))] == []
+    for bad in (content[:-1], content[:40] + b"!" + content[41:], b""):
+        with pytest.raises(ValueError):
+            [*run_bytes.records(bad)]
+
+
+def test_take_over_a_folder(spark, tmp_path):
+    def write(name, rows):
+        (one,) = run_bytes.encoded(log(spark, rows), 1).collect()
+        (tmp_path / name).write_bytes(bytes(one.content))
+
+    write("sstable-9.sst", [(b"a", b"1", 0), (b"b", b"1", 0), (b"c", b"1", 0)])
+    write("sstable-10.sst", [(b"b", b"2", 0), (b"c", None, 0)])
+    (tmp_path / "sstable-99.sst.tmp").write_bytes(b"left over")
+    data = segment(spark, [(b"d", b"1", 0), (b"a", b"3", 50), (b"d", None, 0)])
+    (tmp_path / "wal-3.log").write_bytes(data[:-1])
+    store = Store(spark, str(tmp_path / "s"), clock=lambda: 49)
+    store.recover(str(tmp_path))
+    assert state(store.snapshot()) == {b"a": b"3", b"b": b"2", b"d": b"1"}
+
+
+def test_consolidation(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), clock=lambda: 0)
+    for v in (b"1", b"2", None, b"3"):
+        store.append(log(spark, [(b"k", v, 0)]).withColumn("seq", F.lit(store.manifest().next_seq)))
+    store.consolidate()
+    store.vacuum()
+    assert len(store.manifest().segments) == 1 and store.log().count() == 1 and state(store.snapshot()) == {b"k": b"3"}
