@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import expiry_of, is_live, strip
 from palimpsest.functions.commands import BAD_TTL, parse, respond
+from palimpsest.plans.shared import materialize
 
 #: Rows of ``seq`` in a block: a key's history is walked block by block, so no task holds all of a hot key.
 BLOCK = 1_000_000
@@ -67,6 +68,7 @@ def evaluate(commands: DataFrame, block: int = BLOCK, before: DataFrame | None =
         blank = {"ts_ms": "long", "verb": "string", "error": "string"}
         held = before.select(first.alias("seq"), *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "key", F.lit(True).alias("mutates"), "value", "expiry_ms")
         cells = cells.unionByName(held)
+    cells = materialize(cells, "cells")  # lines are parsed once, however often the plan reads them
     keyed, rest = cells.filter("key is not null"), cells.filter("key is null").withColumn("prev", F.lit(None).cast("struct<value: string, expiry_ms: bigint>"))
     seen = with_previous(keyed, block).unionByName(rest)
     alive: Column = F.coalesce(is_live(F.col("prev.value"), F.col("prev.expiry_ms"), F.col("ts_ms")), F.lit(False))
