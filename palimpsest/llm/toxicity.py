@@ -139,7 +139,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = C
             found = [words(x or b"", dimensions).astype(np.int32) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "words"])
 
-    return held.mapInArrow(run, "doc_id long, y array<int>, words array<int>").dropDuplicates(["doc_id"])
+    return held.mapInArrow(run, "doc_id long, y array<int>, words array<int>").groupBy("doc_id").agg(F.min(F.struct("y", "words")).alias("r")).select("doc_id", "r.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> tuple[list[Linear], list[float]]:
