@@ -1,0 +1,63 @@
+"""Relations that hold for every log: splits, repeats and compactions do not change what is seen."""
+
+import random
+
+import pytest
+from model import Model
+from pyspark.sql import functions as F
+
+from palimpsest.operators import runs, snapshot
+from palimpsest.schema import MUTATION
+from palimpsest.sources import wal
+
+
+def random_log(seed, n=250):
+    rnd = random.Random(seed)
+    out = []
+    for seq in range(n):
+        key = bytes([rnd.choice([0, 65, 127, 128, 255])] * rnd.randrange(0, 3)) + bytes([rnd.randrange(4)])
+        kind = rnd.random()
+        value = None if kind < 0.3 else b"" if kind < 0.4 else bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 5)))
+        out.append((seq, key, value, 0 if value is None or kind > 0.8 else rnd.randrange(-2, 60)))
+    return out
+
+
+def state(df):
+    return {bytes(r.key): bytes(r.value) for r in df.select("key", "value").collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_log_runs_compaction_and_replay_agree(spark, seed):
+    rows, rnd, now = random_log(seed), random.Random(seed), 30
+    model = Model()
+    for _, key, value, expiry in rows:
+        model.put(key, value, expiry)
+    expected = model.snapshot(now)
+    log = spark.createDataFrame(rows, MUTATION)
+    assert state(snapshot.snapshot(log, now)) == expected
+    for _ in range(3):
+        cuts = sorted(rnd.sample(range(1, len(rows)), rnd.randrange(1, 9)))
+        split = log.withColumn("generation", sum((F.when(F.col("seq") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
+        layered = snapshot.newest_wins(split, ["generation", "key"])
+        assert state(runs.compact(layered, now)) == expected  # however the log was cut into runs
+        older = runs.merge(layered.filter(F.col("generation") < len(cuts)))  # merging the older runs first, tombstones kept, changes nothing
+        both = older.withColumn("generation", F.lit(-1)).unionByName(layered.filter(F.col("generation") == len(cuts)))
+        assert state(runs.compact(both, now)) == expected
+    segments = wal.segment_bytes(log.withColumn("segment", F.floor(F.col("seq") / 60).cast("int")))
+    assert state(snapshot.snapshot(wal.replay(segments), now)) == expected
+    assert state(snapshot.snapshot(wal.replay(segments.unionByName(segments)), now)) == expected  # replay twice
+    for asof in (0, 17, len(rows)):
+        prefix = Model()
+        for seq, key, value, expiry in rows:
+            if seq <= asof:
+                prefix.put(key, value, expiry)
+        assert state(snapshot.as_of(log, asof, now)) == prefix.snapshot(now)
+
+
+def test_compaction_stats_add_up(spark):
+    log = spark.createDataFrame(random_log(9), MUTATION).withColumn("generation", (F.col("seq") / 50).cast("int"))
+    layered = snapshot.newest_wins(log, ["generation", "key"])
+    s = runs.compaction_stats(layered, F.lit(30)).first()
+    assert s.n_in == layered.count() and s.n_in == s.n_superseded + s.n_tombstones + s.n_expired + s.n_out
+    assert s.n_out == runs.compact(layered, 30).count() and s.n_in - s.n_superseded == runs.merge(layered).count()
+    assert runs.compaction_stats(layered.limit(0), F.lit(0)).first()[:] == (0, 0, 0, 0, 0)
