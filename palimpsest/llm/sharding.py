@@ -3,8 +3,11 @@
 Indivisible groups (equal texts) go to shards so that bytes are near equal. A partial partition is a
 row of shard sums; the two with the largest spread are combined, one in falling and one in rising
 order, until one is left. Large groups (few, by their size) are differenced together by one task.
-The rest is dealt into classes of bounded size, each differenced by its own task together with a
-partial partition that stands for the class's part of the imbalance that the large groups leave.
+The rest follows in bands of falling size. A band is dealt into classes of bounded size, each
+differenced by its own task together with a partial partition that stands for the class's part of the
+imbalance left so far. Then the classes' partial partitions, a row of shard sums each, are matched with
+one another: the widest first, its largest slot to the shard that lacks most. The next band levels what
+the band before could not.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ ROW_BYTES = 16
 LARGE = 500
 #: Mean groups of a class: what one task differences at once.
 CLASS_GROUPS = 2_000
+#: Sizes within a band differ by this factor; the last band has all below 1 / FINE of a class's even share.
+BAND, FINE = 10, 4
+#: Classes whose partial partitions one task matches; the driver gets one row for each such unit.
+UNIT_CLASSES = 2_000
 
 
 def difference(sizes: np.ndarray, shards: int, first: np.ndarray | None = None) -> np.ndarray:
@@ -108,31 +115,87 @@ def measured(docs: DataFrame) -> DataFrame:
 def placed(groups: DataFrame, shards: int) -> DataFrame:
     """(key, shard) for each group (key binary, total long) of a written table."""
     count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    limit = total // (shards * LARGE)
+    limits = [total // (shards * LARGE)]
+    while limits[-1] > total // (shards * FINE * max(1, -(-count // CLASS_GROUPS))):
+        limits.append(limits[-1] // BAND)
+    banded = groups.withColumn("band", sum(((F.col("total") <= x).cast("int") for x in limits), F.lit(0)))
 
     def heavy(table: pa.Table) -> pa.Table:
         table = table.sort_by([("total", "descending"), ("key", "ascending")])
         part = difference(table.column("total").to_numpy(), shards)
         return pa.table({"key": table.column("key"), "total": table.column("total"), "shard": pa.array(part, pa.int32())})
 
-    large = groups.filter(F.col("total") > limit).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(heavy, "key binary, total long, shard int")
+    large = groups.filter(F.col("total") > limits[0]).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(heavy, "key binary, total long, shard int")
     large = materialize(large, "large")
     held = np.zeros(shards, np.int64)
     for r in large.groupBy("shard").agg(F.sum("total").alias("held")).collect():  # a row for each shard
         held[r.shard] = r.held
-    lack = _level(held, total) - held
-    lack = np.maximum(lack, 0.0)
-    classes = max(1, -(-count // CLASS_GROUPS))
+    out = large.select("key", "shard")
+    bands = banded.filter("band > 0").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total")).collect()  # a row for each power of BAND
+    for r in sorted(bands):
+        lack = np.maximum(_level(held, int(held.sum()) + r.total) - held, 0.0)
+        where, more = _dealt(banded.filter(F.col("band") == r.band).select("key", "total"), -(-r.n // CLASS_GROUPS), lack)
+        held += more
+        out = out.unionByName(where)
+    return out
+
+
+def _dealt(groups: DataFrame, classes: int, lack: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(key, shard) for each group of a band, and the bytes that each shard gets; ``lack``: what it should get."""
+    shards = len(lack)
 
     def light(table: pa.Table) -> pa.Table:
         table = table.sort_by([("total", "descending"), ("key", "ascending")])
         sizes = table.column("total").to_numpy()
-        share = lack * (sizes.sum() / lack.sum()) if lack.sum() else np.zeros(shards)
+        share = lack * (sizes.sum() / lack.sum())
         part = difference(sizes, shards, np.round(share.max() - share).astype(np.int64))
-        return pa.table({"key": table.column("key"), "shard": pa.array(part, pa.int32())})
-
-    small = groups.filter(F.col("total") <= limit).withColumn("class", F.pmod(F.xxhash64("key"), F.lit(classes)))
-    return large.select("key", "shard").unionByName(small.groupBy("class").applyInArrow(light, "key binary, shard int"))
+        sums = np.zeros(shards, np.int64)
+        np.add.at(sums, part, sizes)
+        n, longs = len(sizes), pa.list_(pa.int64())
+        return pa.table({  # the groups, and one row with the class's partial partition
+            "key": pa.array([*table.column("key").to_pylist(), None], pa.binary()), "class": pa.array([table.column("class")[0].as_py()] * (n + 1), pa.int64()),
+            "slot": pa.array([*part.tolist(), None], pa.int32()), "sums": pa.array([*[None] * n, sums.tolist()], longs),
+        })
+
+    def unit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        sums = np.array(table.column("sums").to_pylist(), np.int64)
+        places = match(sums, lack)
+        made = np.zeros(shards, np.int64)
+        np.add.at(made, places, sums)
+        n = len(sums)
+        return pa.table({
+            "class": pa.array([*table.column("class").to_pylist(), None], pa.int64()), "unit": pa.array([table.column("unit")[0].as_py()] * (n + 1), pa.int64()),
+            "places": pa.array([*places.tolist(), None], pa.list_(pa.int32())), "sums": pa.array([*[None] * n, made.tolist()], pa.list_(pa.int64())),
+        })
+
+    keyed = groups.withColumn("class", F.pmod(F.xxhash64("key"), F.lit(classes)).cast("long"))
+    slots = materialize(keyed.groupBy("class").applyInArrow(light, "key binary, class long, slot int, sums array<long>"), "slots")
+    rows = slots.filter("sums is not null").select("class", "sums").withColumn("unit", F.pmod("class", F.lit(-(-classes // UNIT_CLASSES))).cast("long"))
+    matched = materialize(rows.groupBy("unit").applyInArrow(unit, "class long, unit long, places array<int>, sums array<long>"), "matched")
+    units = sorted(matched.filter("sums is not null").select("unit", "sums").collect())  # a row for UNIT_CLASSES x CLASS_GROUPS groups
+    sums = np.array([r.sums for r in units], np.int64)
+    places = match(sums, lack)
+    more = np.zeros(shards, np.int64)
+    np.add.at(more, places, sums)
+    top = groups.sparkSession.createDataFrame([(r.unit, x.tolist()) for r, x in zip(units, places, strict=True)], "unit long, shards array<int>")
+    where = matched.filter("sums is null").join(top, "unit").select("class", F.transform("places", lambda x: F.get("shards", x)).alias("shards"))
+    return slots.filter("sums is null").join(where, "class").select("key", F.get("shards", F.col("slot")).alias("shard")), more
+
+
+def match(sums: np.ndarray, lack: np.ndarray) -> np.ndarray:
+    """The shard of each slot of partial partitions (rows of ``sums``) that were differenced against their parts of ``lack``.
+
+    The one farthest from its part comes first; its slots in falling order go to the shards in falling order of what they still lack.
+    """
+    part = lack / lack.sum()
+    rest = part * sums.sum()
+    out = np.empty(sums.shape, np.int32)
+    for i in np.argsort(-np.abs(sums - np.outer(sums.sum(axis=1), part)).max(axis=1), kind="stable"):
+        slots, open_ = np.argsort(-sums[i], kind="stable"), np.argsort(-rest, kind="stable")
+        out[i, slots] = open_
+        rest[open_] -= sums[i, slots]
+    return out
 
 
 def _level(held: np.ndarray, total: int) -> float:

@@ -74,6 +74,24 @@ def test_sharding(spark, monkeypatch, large):
     assert max(sums.values()) <= max(biggest, sum(sums.values()) / 6 * 1.05) and max(rest) - min(rest) < (0.05 if large > 1 else 0.25) * max(rest)  # 1: classes of ten groups
 
 
+@pytest.mark.parametrize("units", [2000, 3])
+def test_leftovers_of_classes_do_not_add_up_on_a_shard(spark, monkeypatch, units):
+    monkeypatch.setattr(sharding, "CLASS_GROUPS", 50)
+    monkeypatch.setattr(sharding, "LARGE", 2)
+    monkeypatch.setattr(sharding, "UNIT_CLASSES", units)
+    rnd = random.Random(3)
+    even = [100] * 2000 + [5000] * 60  # a class's even share is 2400
+    for sizes in (even, [*even, 90_000, 400_000], [int(100 * rnd.paretovariate(1.3)) for _ in range(2500)]):
+        groups = spark.createDataFrame([(str(i).encode(), s) for i, s in enumerate(sizes)], "key binary, total long")
+        got = sharding.placed(groups, 5).collect()
+        assert sorted(int(r.key) for r in got) == list(range(len(sizes)))
+        sums = Counter()
+        for r in got:
+            sums[r.shard] += sizes[int(r.key)]
+        filled = sorted(sums.values())[: 4 if max(sizes) > sum(sizes) / 5 else 5]
+        assert set(sums) == set(range(5)) and filled[-1] - filled[0] < 0.01 * filled[-1], sums
+
+
 # --------------------------------------------------------------------------- op 4
 def brute_mix(rows, weights=(5, 2, 1)):
     size = lambda t: len((t or "").encode().split())
