@@ -25,8 +25,6 @@ from palimpsest.llm._shared import materialize, text_bytes
 
 RISK, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEATED_PER_CENT, WINDOW = 50, 50, 3
-#: Strata are classes of the language's hash: as many as there are languages, but never more than this.
-STRATA = 256
 SPACES, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
 #: Rule: numerator over denominator, rejected when above the cutoff; cutoffs are k / GRID of `top`.
 RULES = {
@@ -65,10 +63,10 @@ def repeated(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, counts..., base_failed) for each row; a null text has no words."""
+    """(doc_id, stratum, counts..., base_failed) for each row; the stratum is the language, null for none; a null text has no words."""
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("lang"), F.lit("")), F.col("lang").isNull()), F.lit(STRATA)).cast("int").alias("stratum"),
+        F.col("lang").cast("string").alias("stratum"),
         F.col("text").alias("text"),
     )
 
@@ -78,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
             found = [pa.array(np.array([x[i] for x in got], np.int64)) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], ["doc_id", "stratum", *COUNTS])
 
-    out = text_bytes(plain, "doc_id", "stratum").mapInArrow(run, "doc_id long, stratum int, " + ", ".join(f"{c} long" for c in COUNTS))
+    out = text_bytes(plain, "doc_id", "stratum").mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PER_CENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -103,47 +101,56 @@ def _bin(num: str, den: str, top: float):
     return F.when(F.col(den) > 0, F.least(exact, F.lit(GRID))).otherwise(0).cast("int")
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple[int, dict[str, int]]]:
-    """(stratum, {rule: j}): a document is rejected if its ratio exceeds cutoff j of the rule.
+def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, a column for each rule): a document is rejected if its ratio exceeds cutoff j of the rule; null: no cutoff.
 
     ``found``: features. All labelled documents that pass the base rules are counted, by stratum,
-    rule, bin and label; only those counts, at most STRATA x rules x (GRID + 1) x 2 rows, come to the
-    driver. A document labelled twice counts once, as good only if all its labels are.
+    rule, bin and label; one task reads at most rules x (GRID + 1) x 2 counts of a stratum, and only the number of
+    strata comes to the driver. A document labelled twice counts once, as good only if all its labels are.
+    Strata without any cutoff are left out: one with a cutoff has hundreds of good labels.
     """
     one = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).filter("q is not null and id is not null")
     one = one.groupBy("id").agg(F.min("q").alias("q"))
     binned = found.filter(~F.col("base_failed")).select("doc_id", "stratum", *[_bin(*r).alias(name) for name, r in RULES.items()])
     held = binned.join(one, binned["doc_id"] == one["id"])
     long = held.select("stratum", (F.col("q") > 0).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
-    table = long.groupBy("stratum", "good", "x.rule", "x.bin").count().collect()
-    seen = {(s, rule): (np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)) for s in {r.stratum for r in table} for rule in RULES}
-    for r in table:
-        seen[(r.stratum, r.rule)][0 if r.good else 1][r.bin] += r["count"]
-    strata = sorted({s for s, _ in seen})
-    level = delta / max(1, len(seen) * GRID)
-    out = []
-    for s in strata:
-        chosen = {}
-        for rule in RULES:
-            good, bad = seen[(s, rule)]
+    table = materialize(long.groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n")), "counts")
+    level = delta / max(1, table.select("stratum").distinct().count() * len(RULES) * GRID)
+
+    def choose(rows: pa.Table) -> pa.Table:
+        seen = {rule: (np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)) for rule in RULES}
+        for r in rows.to_pylist():
+            seen[r["rule"]][0 if r["good"] else 1][r["bin"]] += r["n"]
+        chosen = dict.fromkeys(RULES)
+        for rule, (good, bad) in seen.items():
             # bin b exceeds cutoffs 0 .. b - 1: cutoff j rejects the bins above j
             for j in range(GRID):
                 if certified(int(good[j + 1 :].sum()), int(good.sum()), risk / len(RULES), level):
                     if bad[j + 1 :].sum():
                         chosen[rule] = j
                     break
-        out.append((s, chosen))
-    return out
+        return pa.table({"stratum": pa.array([rows.column("stratum")[0].as_py()], pa.string()), **{rule: pa.array([j], pa.int32()) for rule, j in chosen.items()}})
+
+    made = table.groupBy("stratum").applyInArrow(choose, "stratum string, " + ", ".join(f"{r} int" for r in RULES))
+    return materialize(made.filter(" or ".join(f"{r} is not null" for r in RULES)), "cutoffs")
+
+
+def _with_cutoffs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` (stratum, ...) with ``cut``, a struct of the stratum's cutoffs or null.
+
+    A language may hold most rows, so its few cutoffs are broadcast: a row for each of at most (labels / hundreds) strata.
+    """
+    cut = chosen.select(F.col("stratum").alias("_stratum"), F.struct(*RULES).alias("cut"))
+    return rows.join(F.broadcast(cut), F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
 
 
 def verdicts(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``found`` with ``kept``: not base_failed and beyond no cutoff of its stratum."""
-    chosen = cutoffs(found, labels, risk, delta)
+    rows = _with_cutoffs(found, cutoffs(found, labels, risk, delta))
     beyond = F.lit(False)
-    for s, rules in chosen:
-        for rule, j in rules.items():
-            beyond = beyond | ((F.col("stratum") == s) & (_bin(*RULES[rule]) > j))
-    return found.withColumn("kept", ~F.col("base_failed") & ~beyond)
+    for rule, parts in RULES.items():
+        beyond = beyond | F.coalesce(_bin(*parts) > F.col(f"cut.{rule}"), F.lit(False))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("cut")
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -167,18 +174,24 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     return _filtered(docs, chosen)
 
 
-def _filtered(docs: DataFrame, chosen: list[tuple[int, dict[str, int]]]) -> DataFrame:
-    by = {s: [(COUNTS.index(RULES[r][0]), COUNTS.index(RULES[r][1]), RULES[r][2], j) for r, j in rules.items()] for s, rules in chosen}
+def _filtered(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    parts = {r: (COUNTS.index(num), COUNTS.index(den), top) for r, (num, den, top) in RULES.items()}
+
+    def beyond(c: tuple, cut: dict[str, int | None]) -> bool:
+        for rule, (num, den, top) in parts.items():
+            if cut[rule] is not None and c[den] > 0 and min(math.ceil(c[num] * GRID / (c[den] * top)), GRID) > cut[rule]:
+                return True
+        return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for s, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for body, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 c = counts(body or b"")
                 ok = c[0] >= MIN_WORDS and 100 * c[4] <= MAX_REPEATED_PER_CENT * c[0]
-                keep.append(ok and not any(c[den] > 0 and min(math.ceil(c[num] * GRID / (c[den] * top)), GRID) > j for num, den, top, j in by.get(s, ())))
+                keep.append(ok and not (cut and beyond(c, cut)))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    stratum = F.pmod(F.xxhash64(F.coalesce(F.col("lang"), F.lit("")), F.col("lang").isNull()), F.lit(STRATA)).cast("int").alias("stratum")
-    return docs.select(row, stratum, F.col("text").cast("binary").alias("body")).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    rows = docs.select(row, F.col("lang").cast("string").alias("stratum"), F.col("text").cast("binary").alias("body"))
+    return _with_cutoffs(rows, chosen).select("row", "body", "cut").mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")

@@ -216,6 +216,19 @@ def test_false_rejection_is_limited_where_labels_are_noise(spark):
     assert none.filter("kept = base_failed").count() == 0
 
 
+def test_each_language_has_cutoffs_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    rows, labels = quality_rows()
+    clash = spark.range(5000).select(F.concat(F.lit("l"), "id").alias("lang")).filter("pmod(xxhash64(lang, false), 256) = pmod(xxhash64('en', false), 256)").first().lang
+    own = {9500: clash, 9501: None, 9502: "", 9503: "en"}  # the text of a bad document in languages without labels, and in one with
+    text = next(t for _, t, lang, _ in rows if lang == "en" and "#" in t)
+    docs = frame(spark, rows + [(i, text, lang, "s") for i, lang in own.items()])
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.kept for r in quality.judged(docs, known).collect() if r.doc_id in own} == {9500: True, 9501: True, 9502: True, 9503: False}
+    assert {r.doc_id for r in quality.keep_good(docs, known).collect()} & set(own) == {9500, 9501, 9502}
+
+
 # --------------------------------------------------------------------------- op 7
 def test_toxicity_on_held_out_documents(spark):
     rnd = random.Random(9)
