@@ -22,8 +22,10 @@ VERSION, CRLF = b"WARC/1.1", b"\r\n"
 #: Date of responses that are built from pages, which have none.
 DATE = "2000-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|aside|main|blockquote|pre|hr|dl|dt|dd|form|body|html)\b[^>]*>", re.I)
+#: Of a head only these have text of their own that is not shown; anything else ends the head, whether </head> is there or not.
+#: A title without its end tag ends where the head does.
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|noframes|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>(?:.*?</title\s*>|.*?(?=</head\b|{_BLOCK.pattern}))", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

@@ -292,6 +292,20 @@ def test_warc_records(spark):
     assert set(ids.values()) == {1, 2}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>t</title><body><p>All the text", "All the text"),
+    ("<head><meta charset=utf-8><title>t</title><p>All <b>the</b> text", "All the text"),
+    ("<head><title>t<body>All the text", "All the text"),
+    ("<HEAD ><TITLE>t</TITLE><script>x='<p>no</p></head>'</script><style>b{}</style></HEAD>All the text", "All the text"),
+    ("<head-bar>All</head-bar> <template-x>the</template-x> <title-y>text</title-y>", "All the text"),
+    ("<header>All the</header><template>no</template> text<!-- no", "All the\ntext"),
+])
+def test_only_hidden_elements_are_left_out(page, text):
+    assert warc.plain_text(page) == text
+    meta, conversion = (warc.parse(x)[1].decode() for x in warc.derive(warc.response(1, "http://a", page + "--><a href=z></a>" if page.endswith("no") else page + "<a href=z></a>")))
+    assert conversion == text and "outlink: z L a/@href" in meta.splitlines()
+
+
 # --------------------------------------------------------------------------- tokens, ops 9 and 10
 def true_ids(text):
     import public_tokenizers
