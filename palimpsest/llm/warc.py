@@ -28,7 +28,9 @@ _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|he
 _HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|noframes|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>(?:.*?</title\s*>|.*?(?=</head\b|{_BLOCK.pattern}))", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: For links, tags stay; comments and what scripts and styles hold are no markup.
+_INERT = re.compile(r"<!--.*?(?:-->|\Z)|(<(script|style)(?=[\s/>])[^>]*>).*?(?:</\2\s*>|\Z)", re.S | re.I)
+_LINK = re.compile(r"""<(a|img|link|script|iframe)(?=[\s/>])[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -90,7 +92,7 @@ def derive(data: bytes) -> tuple[bytes, bytes]:
     links += [(f"source-header-{name.strip().lower()}", value.strip()) for name, colon, value in (x.partition(":") for x in fields) if colon]
     if title := _TITLE.search(body):
         links.append(("title", " ".join(html.unescape(_TAG.sub("", title[1])).split())))
-    links += [("outlink", f"{html.unescape(m[3] or m[4] or m[5] or '')} {'L' if m[1].lower() == 'a' else 'E'} {m[1].lower()}/@{m[2].lower()}") for m in _LINK.finditer(_HIDDEN.sub(" ", body))]
+    links += [("outlink", f"{html.unescape(m[3] or m[4] or m[5] or '')} {'L' if m[1].lower() == 'a' else 'E'} {m[1].lower()}/@{m[2].lower()}") for m in _LINK.finditer(_INERT.sub(r"\1 ", body))]
     about = CRLF.join(f"{k}: {_line(v)}".encode() for k, v in links) + CRLF
     text = plain_text(body).encode()
 

@@ -306,6 +306,13 @@ def test_only_hidden_elements_are_left_out(page, text):
     assert conversion == text and "outlink: z L a/@href" in meta.splitlines()
 
 
+def test_outlinks_of_head_and_scripts():
+    page = """<html><head><link rel=canonical href="/c"><!-- <a href=no> --><script src='s.js'>x = '<a href="no">'</script><style>/* <img src=no> */</style></head>
+<body><noscript><img src=n.png></noscript><template><a href=t></a></template><a-b href=no></a-b><iframe src=f></iframe><a href="/x?a=1&amp;b=2">x</a><script>'<a href=no>'"""
+    meta = warc.parse(warc.derive(warc.response(1, "http://a", page))[0])[1].decode().splitlines()
+    assert [x[9:] for x in meta if x.startswith("outlink: ")] == ["/c E link/@href", "s.js E script/@src", "n.png E img/@src", "t L a/@href", "f E iframe/@src", "/x?a=1&b=2 L a/@href"]
+
+
 # --------------------------------------------------------------------------- tokens, ops 9 and 10
 def true_ids(text):
     import public_tokenizers
