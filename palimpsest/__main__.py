@@ -12,6 +12,7 @@ def main(args: list[str]) -> None:
     if not args:
         sys.exit(__doc__)
     flush_bytes, trigger = (int(a) if a else d for a, d in zip([*args[1:3], "", ""], (THRESHOLD, TRIGGER), strict=False))
+    sys.stdin.reconfigure(newline="\n")
     spark = session()
     try:
         repl(Store(spark, args[0], flush_bytes, trigger), sys.stdin, sys.stdout)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.cells import strip
+from palimpsest.functions.cells import MAX_LINE, strip
 
 #: A value with a time to live: text, one space, EX, spaces, digits to the end. Fixed by the language.
 WITH_TTL = r"\A(.*)\sEX\s+(\d+)\z"
 EMPTY, ARITY, BAD_TTL, UNKNOWN = "empty command", "wrong number of arguments for '", "invalid EX value", "unknown command '"
+TOO_LONG = f"line exceeds maximum length of {MAX_LINE} bytes"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.cells import expiry_of, is_live, strip
-from palimpsest.functions.commands import BAD_TTL, parse, respond
+from palimpsest.functions.cells import MAX_LINE, expiry_of, is_live, strip
+from palimpsest.functions.commands import BAD_TTL, TOO_LONG, parse, respond
 from palimpsest.plans.shared import materialize
 
 #: Rows of ``seq`` in a block: a key's history is walked block by block, so no task holds all of a hot key.
@@ -40,11 +40,15 @@ def deletes(log: DataFrame, block: int = BLOCK) -> DataFrame:
 def parsed(lines: DataFrame) -> DataFrame:
     """``lines`` (seq, ts_ms, line, ...) with verb, key, value, ttl_s, error; blank lines, which get no response, are left out.
 
-    A time to live beyond 64 bits of milliseconds is an error here, not a wrapped number.
+    A time to live beyond 64 bits of milliseconds is an error here, not a wrapped number; so is a line of more than MAX_LINE bytes, or
+    that the column ``too_long``, if there is one, says was so before its CR went.
     """
-    out = lines.filter(strip(F.col("line")) != "").withColumn("_c", parse(F.col("line"))).select(*lines.columns, "_c.*")
-    too_long = F.col("error").isNull() & (F.col("ttl_s") > 0) & expiry_of(F.col("ts_ms"), F.col("ttl_s")).isNull()
-    return out.withColumn("error", F.when(too_long, F.lit(BAD_TTL)).otherwise(F.col("error")))
+    over = F.octet_length("line") > MAX_LINE
+    if "too_long" in lines.columns:
+        over = over | F.coalesce(F.col("too_long"), F.lit(False))
+    out = lines.filter((strip(F.col("line")) != "") | over).withColumn("_c", parse(F.col("line"))).select(*lines.columns, "_c.*")
+    no_time = F.col("error").isNull() & (F.col("ttl_s") > 0) & expiry_of(F.col("ts_ms"), F.col("ttl_s")).isNull()
+    return out.withColumn("error", F.when(over, F.lit(TOO_LONG)).when(no_time, F.lit(BAD_TTL)).otherwise(F.col("error")))
 
 
 def until_quit(commands: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import cells
+from palimpsest.functions.cells import MAX_LINE
 from palimpsest.operators import commands, snapshot
 from palimpsest.plans.shared import materialize
 from palimpsest.plans.store import Store
@@ -35,8 +36,9 @@ def execute(store: Store, lines: DataFrame, block: int = commands.BLOCK) -> Data
 def repl(store: Store, source: Iterable[str], out: TextIO) -> None:
     """Answer lines one by one until QUIT or their end; each line is a batch of its own."""
     for line in source:
-        text = line.rstrip("\n").removesuffix("\r")
-        df = store.spark.createDataFrame([(0, store.clock(), 0, text)], "seq long, ts_ms long, conn long, line string")
+        text = line.rstrip("\n")
+        too_long = len(text.encode("utf-8", "surrogatepass")) > MAX_LINE
+        df = store.spark.createDataFrame([(0, store.clock(), 0, text.removesuffix("\r"), too_long)], "seq long, ts_ms long, conn long, line string, too_long boolean")
         for row in execute(store, df).collect():
             out.write(row.response + "\r\n")
             out.flush()
@@ -45,7 +47,7 @@ def repl(store: Store, source: Iterable[str], out: TextIO) -> None:
 
 
 def answers(store: Store, text: str) -> str:
-    """The responses to a text of lines, as one session would get them."""
+    """The responses to a text of lines, which only LF ends, as one session would get them."""
     out = io.StringIO()
-    repl(store, text.splitlines(keepends=True), out)
+    repl(store, io.StringIO(text, newline="\n"), out)
     return out.getvalue()

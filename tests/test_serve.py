@@ -26,3 +26,11 @@ def test_batches_see_the_store_and_each_other(spark, tmp_path):
     assert run("SET c " + "x" * 30, "DEL a") == ["+OK", ":1"]
     assert {bytes(r.key) for r in store.snapshot().collect()} == {b"c"}
     assert run() == []
+
+
+def test_only_lf_ends_a_line_and_long_lines_are_errors(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), clock=lambda: 100)
+    value, error = "a\x0bb\x0cc\x85d\u2028e\rf", "-ERR line exceeds maximum length of 1048576 bytes\r\n"
+    most = "x" * ((1 << 20) - len("SET b "))
+    got = serve.answers(store, f"SET a {value}\r\nGET a\nSET b {most}\nSET b {most}\r\nSET a {most}y\nGET a")
+    assert got == f"+OK\r\n${value}\r\n+OK\r\n{error}{error}${value}\r\n"
