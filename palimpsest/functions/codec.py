@@ -21,9 +21,13 @@ def _big_endian(number: Column, digits: int) -> Column:
     return F.unhex(F.substring(F.lpad(F.hex(number.cast("long")), 16, "0"), 17 - digits, digits))
 
 
+def _bounded(data: Column, name: str) -> Column:
+    return F.when(F.octet_length(data) > MAX_FIELD, F.raise_error(F.lit(f"a {name} is longer than {MAX_FIELD} bytes")).cast("binary")).otherwise(data)
+
+
 def body(key: Column, value: Column, expiry_ms: Column) -> Column:
-    """All of a record but its checksum."""
-    key, value = key.cast("binary"), value.cast("binary")
+    """All of a record but its checksum. A key or value that a reader would take for damage is an error."""
+    key, value = _bounded(key.cast("binary"), "key"), _bounded(value.cast("binary"), "value")
     length = F.coalesce(F.octet_length(value), F.lit(-1))
     return F.concat(_big_endian(F.octet_length(key), 8), key, _big_endian(expiry_ms, 16), _big_endian(length, 8), F.coalesce(value, F.lit(b"")))
 

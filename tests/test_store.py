@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import cells, codec
 from palimpsest.operators import load_report, runs, snapshot
-from palimpsest.plans.store import Store
+from palimpsest.plans.store import Conflict, Store, tier
 from palimpsest.schema import MUTATION
 from palimpsest.sources import lines, run_bytes, wal, workload
 from palimpsest.sources import runs as run_files
@@ -65,7 +65,7 @@ def test_sparse_index(spark, tmp_path):
     assert got == {i: (f"key-{i:05d}", sum(sizes[:i])) for i in (0, 32, 64, 96)}
 
 
-@pytest.mark.parametrize("rows", [10, 50_000_000])  # one range, and several
+@pytest.mark.parametrize("rows", [10, 2_000_000])
 def test_floor_search(spark, rows):
     index = spark.createDataFrame([(f"k{i:03d}", i) for i in range(0, 300, 3)], "key string, offset long")
     probes = [f"k{i:03d}" for i in range(-1, 305)] + ["a", "z"]
@@ -74,6 +74,13 @@ def test_floor_search(spark, rows):
     assert got == {p: max((v for k, v in keys.items() if k <= p), default=None) for p in probes}
 
 
+def test_floor_search_spreads_equal_probes(spark):
+    index = spark.createDataFrame([("a", 1), ("m", 2)], "key string, offset long")
+    found = runs.floor_search(index, spark.range(40_000).select(F.lit("k").alias("probe")), 40_002)
+    assert found.groupBy("floor_key", "floor_offset").count().collect() == [("a", 1, 40_000)]
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
 RECORDS = [(b"a", b"1", 0), (b"b", b"", 12345), (b"a", None, 0), (b"", b"\xff\x00", -7)]
 
 
@@ -93,6 +100,15 @@ def test_bad_tails_end_a_segment(spark, bend, left):
     assert len([*codec.decode_bytes(bend(segment(spark, RECORDS)))]) == left
 
 
+def test_a_field_beyond_the_limit_is_refused(spark, monkeypatch):
+    """A reader takes such a length for damage and drops what follows, so it must not be written."""
+    monkeypatch.setattr(codec, "MAX_FIELD", 8)
+    assert [x[1] for x in codec.decode_bytes(segment(spark, [(b"12345678", b"12345678", 0), (b"b", None, 0)]))] == [b"12345678", b"b"]
+    for key, value in ((b"123456789", b""), (b"", b"123456789")):
+        with pytest.raises(Exception, match="longer than 8 bytes"):
+            segment(spark, [(b"a", b"1", 0), (key, value, 0), (b"b", b"2", 0)])
+
+
 def test_replay_of_files(spark, tmp_path):
     assert wal.segments(spark, str(tmp_path / "none")).count() == 0
     for n, rows, cut in ((9, [(b"a", b"1", 0), (b"b", b"2", 0)], 3), (10, [(b"a", b"3", 0)], 0)):
@@ -109,6 +125,18 @@ def test_lines(spark, tmp_path):
     assert got == [("PING", False), ("SET a b\r", False), ("", False), ("last", False), ("long", True)]
 
 
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    for name, data in (("b", b"x\ny"), ("a", b"".join(b"SET k%d v\r\n" % i for i in range(5000))), ("c", b"")):
+        (tmp_path / name).write_bytes(data)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")  # a file is read by many tasks
+    try:
+        got = sorted(tuple(r) for r in lines.numbered(lines.read(spark, str(tmp_path)), 7).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert got == [(i, 7, 0, f"SET k{i} v", False) for i in range(5000)] + [(5000, 7, 1, "x", False), (5001, 7, 1, "y", False)]
+
+
 def test_generation_names(spark):
     df = spark.createDataFrame([("/x/wal-9.log",), ("wal-10.log",), ("wal-x.log",), ("wal-1.log.tmp",)], "p string")
     assert [r[0] for r in df.select(cells.generation(F.col("p"))).collect()] == [9, 10, None, None]
@@ -124,6 +152,11 @@ def test_nearest_rank(spark):
     assert load_report.throughput(df, F.lit(2.0)).first()[:] == (10, 2.0, 5.0)
 
 
+def test_report_in_milliseconds(spark):
+    df = spark.range(1, 11).select((F.col("id") * 1_500_000).alias("ns"))
+    assert load_report.report(df, F.lit(2.0)).first()[:] == (10, 2.0, 5.0, 7.5, 15.0, 15.0, 15.0)
+
+
 def test_workload(spark):
     a, b = (workload.generate(spark, 3, 100, 30).collect() for _ in range(2))
     assert a == b and len(a) == 300 and 40 < sum(r.line.startswith("SET") for r in a) < 140
@@ -184,6 +217,106 @@ def test_second_writer_fails(spark, tmp_path):
         store._commit(old, runs=())
 
 
+def test_a_writer_in_between_is_noticed(spark, tmp_path, monkeypatch):
+    """A sequence number is taken from one manifest and committed against it, so it is never given twice."""
+    first, second = (Store(spark, str(tmp_path / "s"), clock=lambda: 0) for _ in range(2))
+    first.put(b"k", b"0")
+    write = Store.append
+
+    def interrupted(self, batch, batch_id=None, at=None):
+        monkeypatch.setattr(Store, "append", write)
+        second.put(b"k", b"theirs")
+        write(self, batch, batch_id, at)
+
+    monkeypatch.setattr(Store, "append", interrupted)
+    with pytest.raises(Conflict):
+        first.put(b"k", b"ours")
+    monkeypatch.setattr(Store, "append", interrupted)
+    with pytest.raises(Conflict):
+        first.delete(b"k")
+    seqs = [r.seq for r in first.log().collect()]
+    assert len(seqs) == len(set(seqs)) == 3 and state(first.snapshot()) == {b"k": b"theirs"}
+
+
+@pytest.mark.parametrize("step", ["flush", "compact"])
+def test_flush_and_compaction_keep_what_others_add_meanwhile(spark, tmp_path, monkeypatch, step):
+    store, other = (Store(spark, str(tmp_path / "s"), flush_bytes=1 << 30, trigger=99, clock=lambda: 0) for _ in range(2))
+    for value in (b"1", None):
+        store.put(b"k", value) if value else store.delete(b"k")
+        store.put(b"x", b"x")
+        if step == "compact":
+            store.flush()
+    write = run_files.write
+
+    def interrupted(df, path, *rest):
+        write(df, path, *rest)
+        monkeypatch.setattr(run_files, "write", write)
+        other.put(b"new", b"n")
+        if step == "compact":
+            other.flush()
+
+    monkeypatch.setattr(run_files, "write", interrupted)
+    getattr(store, step)()
+    now = store.manifest()
+    assert state(store.snapshot()) == {b"x": b"x", b"new": b"n"}
+    assert (len(now.segments), len(now.runs)) == ((1, 1) if step == "flush" else (0, 2))
+    if step == "compact":
+        assert store.log().count() == 2  # the tombstone went, as the oldest run took part
+    store.vacuum()
+    assert state(store.snapshot()) == {b"x": b"x", b"new": b"n"}
+
+
+def test_a_compaction_without_the_oldest_run_keeps_tombstones(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), flush_bytes=1 << 30, trigger=99, clock=lambda: 5)
+    for change in (lambda: store.put(b"k", b"old"), lambda: store.delete(b"k"), lambda: store.put(b"e", b"v", 5)):
+        change()
+        store.flush()
+    store.compact(newest=2)
+    assert len(store.manifest().runs) == 2 and store.log().count() == 3 and state(store.snapshot()) == {}
+    store.compact()
+    assert len(store.manifest().runs) == 1 and store.log().count() == 0 and set(store.manifest().sizes) == set(store.manifest().runs)
+
+
+def test_what_is_pinned_outlives_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), flush_bytes=1 << 30, clock=lambda: 0)
+    store.put(b"k", b"1")
+    with store.pin() as then:
+        store.put(b"k", b"2")
+        store.flush()
+        assert len(store.vacuum()) == 1  # the segment of the second put
+        assert state(snapshot.snapshot(store.log(then), 0)) == {b"k": b"1"} and state(store.snapshot()) == {b"k": b"2"}
+    assert len(store.vacuum()) == 1 and state(store.snapshot()) == {b"k": b"2"}
+
+
+def test_tiers_rewrite_little():
+    """Bytes written by flushes and compactions for each byte flushed, over 4000 flushes (16 GB of memtables of 4 MiB)."""
+
+    def amplification(pick, flushes):
+        sizes, written = [], 0
+        for _ in range(flushes):
+            sizes.insert(0, 1)
+            written += 1
+            if n := pick(sizes):
+                sizes[:n] = [sum(sizes[:n])]
+                written += sizes[0]
+        return written / flushes, len(sizes)
+
+    tiers, runs_left = amplification(tier, 4000)
+    assert tiers < 20 and runs_left < 16
+    assert amplification(lambda s: len(s) if len(s) >= 4 else 0, 4000)[0] > 600  # all runs each time
+    assert tier([1]) == tier([1, 1, 1]) == tier([1, 9, 99, 999]) == 0 and tier([1, 1, 1, 1]) == 4 and tier([1, 1, 1, 99]) == 3
+
+
+def test_overwrites_do_not_flush(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), flush_bytes=30, clock=lambda: 0)
+    for i in range(5):
+        store.put(b"k", b"%010d" % i)  # 11 bytes: the log passes the threshold, the memtable does not
+    now = store.manifest()
+    assert not now.runs and len(now.segments) <= 3 and now.open_most < 33 and state(store.snapshot()) == {b"k": b"0000000004"}
+    store.put(b"l", b"x" * 30)
+    assert len(store.manifest().runs) == 1 and not store.manifest().segments and store.manifest().open_most == 0
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), clock=lambda: 0)
     batch = log(spark, [(b"a", b"1", 0)])
@@ -218,6 +351,20 @@ def test_run_file(spark):
             [*run_bytes.records(bad)]
 
 
+def test_point_lookup_in_run_files(spark):
+    old = log(spark, [(f"key-{i:05d}".encode(), b"old", 0) for i in range(0, 200, 2)])
+    new = log(spark, [(f"key-{i:05d}".encode(), None if i % 3 else b"new", i) for i in range(0, 200, 5)])
+    files = [(n, bytes(r.content)) for n, df in ((9, old), (10, new)) for r in run_bytes.encoded(df, 1).collect()]
+    for key in [f"key-{i:05d}".encode() for i in range(-1, 201)] + [b"", b"z"]:
+        for _, content in files:
+            assert run_bytes.find(content, key) == next(((v, e) for _, k, v, e in run_bytes.records(content) if k == key), None)
+    assert run_bytes.find(run_bytes.join([]), b"a") is None
+    asked = [b"key-00000", b"key-00002", b"key-00005", b"key-00007", b"key-00015"]
+    got = {bytes(r.key): (r.generation, r.value and bytes(r.value), r.expiry_ms) for r in run_bytes.lookup(spark.createDataFrame(files, "generation int, content binary"), asked).collect()}
+    assert got == {b"key-00000": (10, b"new", 0), b"key-00002": (9, b"old", 0), b"key-00005": (10, None, 5), b"key-00015": (10, b"new", 15)}
+    assert run_bytes.files_for(old, 100) == 32
+
+
 def test_take_over_a_folder(spark, tmp_path):
     def write(name, rows):
         (one,) = run_bytes.encoded(log(spark, rows), 1).collect()
