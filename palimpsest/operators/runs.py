@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.cells import is_expired, is_live
-from palimpsest.functions.ordering import bounds, range_of
 from palimpsest.operators.snapshot import newest_wins
+from palimpsest.plans.shared import materialize
+
+#: Rows that one ordered range should hold.
+RANGE_ROWS = 200_000
 
 
 def merge(runs: DataFrame, rank: str = "generation") -> DataFrame:
@@ -44,13 +47,20 @@ def layered_lookup(layers: DataFrame, now_ms: Column, rank: str = "layer") -> Da
 def floor_search(index: DataFrame, probes: DataFrame, rows: int) -> DataFrame:
     """(probe, floor_key, floor_offset): for each probe the greatest index key that is not beyond it; NULL below the first.
 
-    Index (key, offset) and probes (probe) are dealt into key ranges that begin at index keys, so no range
-    needs the one before it; within a range one ordered pass carries the last entry on. ``rows``: about how many there are.
+    Index (key, offset) and probes (probe) are sorted together by range; equal probes are told apart by a number, so that even
+    one key that most probes ask for spreads over tasks. Each range takes over the last entry of those before it, which is a
+    row for each range, and carries entries on in one ordered pass. ``rows``: about how many there are.
     """
-    limits = bounds(index, "key", rows)
+    spark = index.sparkSession
     entries = index.select(F.col("key").alias("k"), F.lit(0).alias("kind"), F.struct(F.col("key").alias("key"), F.col("offset").alias("offset")).alias("entry"))
     asked = probes.select(F.col("probe").alias("k"), F.lit(1).alias("kind"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
-    both = entries.unionByName(asked).withColumn("range", range_of(F.col("k"), limits))
+    both = entries.unionByName(asked).withColumn("tie", F.monotonically_increasing_id())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    dealt = materialize(both.repartitionByRange(ranges, "k", "kind", "tie").drop("tie").withColumn("range", F.spark_partition_id()), "ranges")
+    lasts = dealt.groupBy("range").agg(F.max_by("entry", F.when(F.col("kind") == 0, F.col("k"))).alias("held"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(F.col("range").alias("r"), F.last_value("held", True).over(earlier).alias("carry"))
     upto = Window.partitionBy("range").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("last", F.last_value("entry", True).over(upto)).filter("kind = 1")
-    return found.select(F.col("k").alias("probe"), F.col("last.key").alias("floor_key"), F.col("last.offset").alias("floor_offset"))
+    found = dealt.withColumn("own", F.last_value("entry", True).over(upto)).filter("kind = 1").join(carry, F.col("range") == F.col("r"))
+    last = F.coalesce("own", "carry")
+    return found.select(F.col("k").alias("probe"), last["key"].alias("floor_key"), last["offset"].alias("floor_offset"))

@@ -10,17 +10,21 @@ be cut off by a crash, a run was complete when it appeared: damage is an error.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.cells import generation
+from palimpsest.functions.cells import generation, record_size
 from palimpsest.functions.codec import decode_bytes, encode
+from palimpsest.operators.snapshot import newest_wins
 from palimpsest.sources.runs import INTERVAL
 
 FOOTER = 24
+#: Record bytes of a file that this library makes.
+FILE_BYTES = 64 << 20
 
 
 def join(entries: Iterable[tuple[bytes, bytes]], interval: int = INTERVAL) -> bytes:
@@ -59,6 +63,39 @@ def index(content: bytes) -> list[tuple[bytes, int]]:
     return out
 
 
+def find(content: bytes, key: bytes) -> tuple[bytes | None, int] | None:
+    """(value, expiry_ms) of a key in a file, None if it is not there: the index gives where to begin, and at most an interval is decoded."""
+    entries = index(content)
+    at = bisect_right(entries, key, key=lambda e: e[0]) - 1
+    if at < 0:
+        return None
+    end = entries[at + 1][1] if at + 1 < len(entries) else struct.unpack(">q", content[-FOOTER : 8 - FOOTER])[0]
+    for _, k, value, expiry in decode_bytes(content[entries[at][1] : end]):
+        if k == key:
+            return value, expiry
+    return None
+
+
+def lookup(found: DataFrame, keys: Sequence[bytes]) -> DataFrame:
+    """(key, generation, value, expiry_ms) of the newest version, tombstones too, of each of a few ``keys`` that some file (generation, content) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+        for b in batches:
+            for number, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(k, number, *hit) for k in keys if (hit := find(content, k))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "generation", "value", "expiry_ms"])
+
+    hits = found.select("generation", "content").mapInArrow(run, "key binary, generation int, value binary, expiry_ms long")
+    return newest_wins(hits, ["key"], "generation")
+
+
+def files_for(run: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many files of about ``file_bytes`` hold the records of a run: a task builds one of them in memory."""
+    total = run.agg(F.coalesce(F.sum(record_size(F.col("key"), F.col("value"))), F.lit(0))).first()[0]
+    return max(1, -(-total // file_bytes))
+
+
 def encoded(run: DataFrame, files: int) -> DataFrame:
     """(generation, content): ``run`` (key, value, expiry_ms) as ``files`` files that cover disjoint key ranges."""
 

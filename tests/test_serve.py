@@ -34,3 +34,13 @@ def test_only_lf_ends_a_line_and_long_lines_are_errors(spark, tmp_path):
     most = "x" * ((1 << 20) - len("SET b "))
     got = serve.answers(store, f"SET a {value}\r\nGET a\nSET b {most}\nSET b {most}\r\nSET a {most}y\nGET a")
     assert got == f"+OK\r\n${value}\r\n+OK\r\n{error}{error}${value}\r\n"
+
+
+def test_files_of_commands(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1").write_bytes(b"SET a x\x0by\r\n\nGET a\r\nQUIT\nGET a\n")
+    (tmp_path / "in" / "2").write_bytes(b"GET a\nSET b " + b"z" * (1 << 20) + b"\nDEL a\nDEL a")
+    store = Store(spark, str(tmp_path / "s"), clock=lambda: 100)
+    got = [r.response for r in serve.execute_files(store, str(tmp_path / "in")).orderBy("seq").collect()]
+    assert got == ["+OK", "$x\x0by", "+OK", "$x\x0by", "-ERR line exceeds maximum length of 1048576 bytes", ":1", ":0"]
+    assert store.snapshot().count() == 0
