@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import cells, codec
 from palimpsest.operators import commands, flush, load_report, runs, snapshot
+from palimpsest.plans import serve
 from palimpsest.plans.shared import new_path
 from palimpsest.plans.store import Store
 from palimpsest.sources import events, run_bytes, wal
@@ -247,18 +248,32 @@ def kv_run_offsets(spark, sf_dir):
 ORACLE["kv_run_offsets"] = f'WITH {_ORDERS} SELECT key, CAST("offset" AS BIGINT) AS "offset" FROM orders_run'
 
 
+def _orders_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = run_files.read(spark, *_orders_run(spark, sf_dir)).withColumn("expiry_ms", F.lit(0).cast("long"))
+    return run_bytes.encoded(run, run_bytes.files_for(run, 1 << 20))
+
+
 @query()
 def kv_run_file_roundtrip(spark, sf_dir):
     """The orders' run is written as binary files with index and footer, and read again."""
-    path, schema = _orders_run(spark, sf_dir)
-    files = run_bytes.encoded(run_files.read(spark, path, schema).withColumn("expiry_ms", F.lit(0).cast("long")), files=4)
-    back = run_bytes.decoded(files)
+    back = run_bytes.decoded(_orders_files(spark, sf_dir))
     return back.select(cells.utf8(F.col("key")).alias("key"), cells.utf8(F.col("value")).alias("value"), "expiry_ms")
 
 
 ORACLE["kv_run_file_roundtrip"] = "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value, CAST(0 AS BIGINT) AS expiry_ms FROM orders"
 
 
+@query()
+def kv_run_get(spark, sf_dir):
+    """The five region keys are looked for in the binary files of the orders' run alone, by the sparse index of each."""
+    keys = [str(r[0]).encode() for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect()]
+    found = run_bytes.lookup(_orders_files(spark, sf_dir), keys)
+    return found.select(cells.utf8(F.col("key")).alias("key"), cells.utf8(F.col("value")).alias("value"), "expiry_ms")
+
+
+ORACLE["kv_run_get"] = "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value, CAST(0 AS BIGINT) AS expiry_ms FROM orders JOIN region ON o_orderkey = r_regionkey"
+
+
 @query()
 def kv_index_floor(spark, sf_dir):
     """Every order key of the line items is looked for, with a suffix that no key has."""
@@ -286,9 +301,18 @@ def kv_record_body(spark, sf_dir):
     return _log(spark, sf_dir).select("seq", F.hex(codec.body(F.col("key"), F.col("value"), F.col("expiry_ms"))).alias("body"))
 
 
-@query()
+@query("""
+, steps AS (  -- eight shifts of each byte value
+  SELECT list(list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) AS r(n)
+), body AS (
+  SELECT seq, printf('%08X', strlen(key)) || hex(encode(key)) || printf('%016X', expiry_ms) || CASE WHEN value IS NULL THEN 'FFFFFFFF' ELSE printf('%08X', strlen(value)) || hex(encode(value)) END AS x FROM m
+), bytes AS (
+  SELECT seq, list_transform(range(0, CAST(strlen(x) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM body
+), sums AS (
+  SELECT seq, xor(list_reduce(list_concat([4294967295], b), lambda c, y: xor(c >> 8, t[CAST(xor(c, y) & 255 AS BIGINT) + 1])), 4294967295) AS c FROM bytes, steps
+) SELECT seq, CAST(CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END AS INTEGER) AS crc FROM sums""")
 def kv_record_crc(spark, sf_dir):
-    """DuckDB has no CRC-32; tests compare with Python's."""
+    """DuckDB has no CRC-32, so its SQL sums the bytes by table; tests compare with Python's as well."""
     data = codec.body(F.col("key"), F.col("value"), F.col("expiry_ms"))
     return _log(spark, sf_dir).select("seq", codec.signed_crc32(data).alias("crc"))
 
@@ -340,9 +364,25 @@ def kv_generation_order(spark, sf_dir):
 
 @query()
 def kv_flush_boundaries(spark, sf_dir):
+    """Memtables of a thousand bytes."""
     return flush.boundaries(_log(spark, sf_dir), threshold=1000)
 
 
+ORACLE["kv_flush_boundaries"] = f"""WITH RECURSIVE {_M}, r AS (
+  SELECT row_number() OVER (ORDER BY seq) AS i, seq, key, strlen(key) + coalesce(strlen(value), 0) AS size FROM m
+), walk(i, seq, sizes, total, done, closed) AS (  -- one mutation a step; a closed memtable is followed by an empty one
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
+  UNION ALL
+  SELECT i, seq, sizes, list_sum(map_values(sizes)), done, list_sum(map_values(sizes)) >= 1000
+  FROM (
+    SELECT r.i, r.seq, map_concat(CASE WHEN closed THEN MAP {{}}::MAP(VARCHAR, BIGINT) ELSE sizes END, MAP {{r.key: CAST(r.size AS BIGINT)}}) AS sizes, done + CASE WHEN closed THEN 1 ELSE 0 END AS done
+    FROM walk JOIN r ON r.i = walk.i + 1
+  )
+)
+SELECT CASE WHEN closed THEN done END AS flush, seq AS last_seq, CAST(cardinality(sizes) AS BIGINT) AS n_keys, CAST(total AS BIGINT) AS n_bytes
+FROM walk WHERE closed OR i > 0 AND i = (SELECT max(i) FROM r)"""
+
+
 # --------------------------------------------------------------------------- commands
 @query("SELECT seq, verb, key, value, ttl_s, CAST(NULL AS VARCHAR) AS error FROM cmd", log=False)
 def kv_parse_commands(spark, sf_dir):
@@ -420,6 +460,20 @@ def kv_quit_truncation(spark, sf_dir):
     return commands.until_quit(commands.parsed(lines)).select("seq", "conn", "verb")
 
 
+@query("""
+, stored AS (
+  SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, verb, key, CASE WHEN verb IN ('GET', 'DEL') THEN coalesce(prev.value IS NOT NULL, false) END AS hit, prev.value AS found FROM seen
+)
+SELECT seq, verb, key, hit, CASE verb WHEN 'PING' THEN '+PONG' WHEN 'SET' THEN '+OK' WHEN 'GET' THEN '$' || CASE WHEN hit THEN found ELSE '-1' END ELSE ':' || CASE WHEN hit THEN 1 ELSE 0 END END AS response
+FROM stored""", log=False)
+def kv_command_file(spark, sf_dir):
+    """The command log as text files, whose lines end as a client sends them; they are read, numbered and run against a new store at one time."""
+    source = _lines(spark, sf_dir)
+    text = source.select("seq", F.concat("line", F.lit("\r")).alias("value")).repartitionByRange("seq").sortWithinPartitions("seq").select("value")
+    text.write.option("lineSep", "\n").text(path := new_path(spark, "commands"))
+    return serve.execute_files(Store(spark, new_path(spark, "served"), clock=lambda: 1), path)
+
+
 # --------------------------------------------------------------------------- load reports
 @query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY event_type")
 def kv_bench_latency(spark, sf_dir):
@@ -432,6 +486,15 @@ def kv_bench_throughput(spark, sf_dir):
     return load_report.throughput(_lines(spark, sf_dir), (F.max("ts_ms") - F.min("ts_ms")).cast("double") / 1000, ["conn"])
 
 
+@query("""
+SELECT event_type, count(*) AS n, span AS elapsed_s, count(*) / span AS per_s, quantile_disc(ns, 0.5) / 1e6 AS p50_ms, quantile_disc(ns, 0.95) / 1e6 AS p95_ms, quantile_disc(ns, 0.99) / 1e6 AS p99_ms, max(ns) / 1e6 AS max_ms
+FROM (SELECT event_type, CAST(floor(value * 1000000) AS BIGINT) AS ns, CAST(max(epoch_us(ts) // 1000) OVER w - min(epoch_us(ts) // 1000) OVER w AS DOUBLE) / 1000 AS span FROM events WINDOW w AS (PARTITION BY event_type)) GROUP BY event_type, span""")
+def kv_bench_report(spark, sf_dir):
+    """Throughput and latencies in one row; the events' values stand for milliseconds, taken in nanoseconds."""
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.floor(F.col("value") * 1_000_000).cast("long").alias("ns"))
+    return load_report.report(samples, (F.max("ts_ms") - F.min("ts_ms")).cast("double") / 1000, "ns", ["event_type"])
+
+
 # --------------------------------------------------------------------------- whole stores
 def _in_store(spark: SparkSession, log: DataFrame, name: str) -> Store:
     now = log.agg(F.max("ts_ms")).first()[0] or 0

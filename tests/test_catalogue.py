@@ -15,7 +15,7 @@ def duck():
     if not Path(SF).exists():
         pytest.skip("no test data")
     c = duckdb.connect()
-    for t in ("events", "customer", "orders", "lineitem"):
+    for t in ("events", "customer", "orders", "lineitem", "region"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
