@@ -1,7 +1,10 @@
 """Corpus pipeline: from ``documents`` to packed token sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is written as Parquet and read
-again as the next one's docs. All but the last return the columns of ``documents``.
+again as the next one's docs. All but the last return the columns of ``documents``, and any others that docs has, whatever
+their names. Nulls in any column, empty and very long texts, ties, repeated rows and empty tables are dealt with as the
+stages' operators say; in short: a null text is an empty one, a null doc_id, language or source is a value of its own, and of rows
+that tie in everything that decides one stays.
 """
 
 from __future__ import annotations
@@ -9,22 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import exact_dedup, mixing, pow2_packing, quality, simhash
-from palimpsest.llm._shared import materialize
+from palimpsest.plans.shared import new_path, scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff of their stratum reject go."""
+    """Documents that the base rules or a certified cutoff of their language reject go; empty texts fail the base rules."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays."""
+    """Of texts that are equal but for the case of A-Z, one with the largest doc_id stays."""
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of linked fingerprints one document with the smallest doc_id stays.
+
+    The scheme is ``simhash.NEAR``: texts whose five-word shingles have a similarity of 0.8 or more, with the recall that README gives.
+    """
+    return simhash.keep_one(docs, simhash.NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's intermediates are deleted when its result is written; the results stay until the folder is cleaned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

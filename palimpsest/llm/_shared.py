@@ -1,20 +1,23 @@
-"""Helpers that the training-data operators share: gapless numbering, rows by text."""
+"""Helpers that the training-data operators share: gapless numbering, rows by text, tidy Python tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import ctypes
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from palimpsest.plans.shared import materialize, shared_dir
+from palimpsest.plans.shared import discard, materialize, shared_dir
 
-__all__ = ["dense_ids", "materialize", "one_row_each", "partitions_for", "shared_dir", "text_bytes"]
+__all__ = ["bodies", "dense_ids", "discard", "fresh", "kept_rows", "materialize", "partitions_for", "shared_dir", "text_bytes", "text_key", "tidy"]
 
 #: Rows of one numbering block in :func:`dense_ids`; a block is sorted by one task.
 BLOCK_ROWS = 50_000
+#: Texts that a Python task holds as objects at once.
+TEXTS_AT_ONCE = 512
 
 
 def text_bytes(df: DataFrame, *others: str, text: str = "text") -> DataFrame:
@@ -22,6 +25,35 @@ def text_bytes(df: DataFrame, *others: str, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("binary").alias("body"))
 
 
+def text_key() -> Column:
+    """SHA-256 of the whole text as it stands (null: of an empty one), 32 bytes: which row of a doc_id is meant."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or that with as many underscores before it as no column in ``taken`` has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def bodies(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a batch, a few at a time as Python objects; null: empty."""
+    for at in range(0, len(column), TEXTS_AT_ONCE):
+        for x in column.slice(at, TEXTS_AT_ONCE).to_pylist():
+            yield x or b""
+
+
+def tidy() -> None:
+    """Give back what an earlier task left in this reused Python worker: token caches, pages that allocators keep."""
+    if tokens := sys.modules.get("palimpsest.llm.tokens"):
+        tokens.forget()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Shuffle partitions so that none expects more than ``per_partition`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
@@ -47,23 +79,20 @@ def dense_ids(df: DataFrame, group: Sequence[str], order: Sequence[str], name: s
     return ranked.join(starts, on).withColumn(name, F.col("_start") + F.col("_rank")).select(*df.columns, name)
 
 
-def one_row_each(docs: DataFrame, stay: DataFrame, key: Callable[[bytes], bytes]) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, key of the text) is in ``stay`` (id long, key binary); one row for each pair.
+def kept_rows(docs: DataFrame, drops: DataFrame, ties: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those in ``drops``, and one row for each pair in ``ties``, with all their columns.
 
-    ``stay`` has no repeated pairs. The rows travel as one struct, so no column of theirs can clash. A
-    null doc_id matches a null id, a null text has the key of an empty one.
+    Both name rows by (id long, key binary): doc_id, null too, and :func:`text_key`. The rows are exchanged by (doc_id, key), of
+    which only repeated rows share one, at every size alike, and meet a hash table of their partition's drops: texts are not sorted. Of
+    rows that share a pair in ``ties`` (the usual case: none) the one with the least hash of all columns stays.
     """
-    schema = docs.schema
-    absent = -(2**63)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = pa.array([key(x or b"") for x in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], ["row", "id", "key"])
-
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(absent)).alias("id"), F.col("text").cast("binary").alias("body"))
-    keyed = packed.mapInArrow(run, StructType([StructField("row", schema), StructField("id", LongType()), StructField("key", BinaryType())]))
-    wanted = stay.select(F.coalesce("id", F.lit(absent)).alias("id"), "key")
-    one = Window.partitionBy("id", "key").orderBy("id")
-    return keyed.join(wanted, ["id", "key"], "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").select("row.*")
+    key, i, k, rank = (fresh(c, docs.columns) for c in ("row_key", "drop_id", "drop_key", "row_rank"))
+    keyed = docs.withColumn(key, text_key())
+    match = F.col(key).eqNullSafe(F.col(k)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
+    named = lambda rows: rows.select(F.col("id").alias(i), F.col("key").alias(k)).hint("shuffle_hash")
+    if ties.isEmpty():
+        return keyed.join(named(drops), match, "left_anti").drop(key)
+    out = keyed.join(named(drops.unionByName(ties)), match, "left_anti").drop(key)
+    one = Window.partitionBy(key, "doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = keyed.join(named(ties), match, "left_semi").withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1)
+    return out.unionByName(rest.drop(key, rank))

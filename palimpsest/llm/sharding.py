@@ -13,16 +13,13 @@ the band before could not.
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import dense_ids, materialize, text_bytes
-from palimpsest.llm.simhash import text_key
+from palimpsest.llm._shared import dense_ids, materialize, text_key
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
@@ -100,16 +97,10 @@ def _leaf(size: int, shards: int) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, key) for each row; a null text is measured, and grouped, as an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bodies = [x or b"" for x in b.column(1).to_pylist()]
-            columns = [pa.array([len(x) + ROW_BYTES for x in bodies], pa.int64()), pa.array(map(zlib.crc32, bodies), pa.int64()), pa.array(map(text_key, bodies), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "size", "text_crc32", "key"])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return text_bytes(plain, "doc_id").mapInArrow(run, "doc_id long, size long, text_crc32 long, key binary")
+    """(doc_id, size, text_crc32, key) for each row, without Python; a null text is measured, and grouped, as an empty one."""
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    size = (F.octet_length(body) + ROW_BYTES).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(body).alias("text_crc32"), text_key().alias("key"))
 
 
 def placed(groups: DataFrame, shards: int) -> DataFrame:
@@ -214,7 +205,8 @@ def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     Equal texts stay together. Slots number the rows of a shard from 0 without gaps. Null text: no
     bytes, crc 0, equal to empty ones. Null doc_id and repeated rows: rows as any other. A group
-    larger than a shard's even part fills a shard alone. An empty table gives an empty result.
+    larger than a shard's even part fills a shard alone. Rows that tie in all columns get different slots. An empty table gives an empty result.
+    Other columns, whatever their names, are not read; texts are measured in the JVM, whole.
     ``grown_shard`` belongs to another law and is null.
     """
     rows = materialize(measured(docs), "measured")

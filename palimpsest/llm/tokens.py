@@ -13,8 +13,10 @@ import re
 from array import array
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
-#: Pieces, and words, that a worker keeps; at the limit it starts anew. A bound of memory only: results do not depend on it.
-CACHE = 400_000
+#: Bytes of pieces, and of words, that a worker keeps; at the limit it starts anew. A bound of memory only: results do not depend on it.
+CACHE_BYTES = 32 << 20
+#: What an entry costs besides its text and ids.
+ENTRY = 200
 #: Characters below U+0300 are normalised one by one; left out are control characters, other spaces,
 #: a letter that lower-cases to two, and the opening of special tokens' names.
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]|<\\|")
@@ -29,21 +31,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
+class _Cache(dict):
+    """A dictionary that computes what it lacks and starts anew when it holds CACHE_BYTES."""
+
+    held = 0
+
+    def __missing__(self, text: str) -> bytes:
+        if self.held > CACHE_BYTES:
+            self.clear()
+        found = self[text] = self.made(text)
+        self.held += ENTRY + len(text) + len(found)
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+class _Words(_Cache):
     """word -> ids, by the tokenizer's model."""
 
     def __init__(self, tokenizer):
         self.model, self.letters = tokenizer.model, _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
+    def made(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        found = self[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
-class _Pieces(dict):
+class _Pieces(_Cache):
     """piece without white space -> ids."""
 
     def __init__(self, tokenizer):
@@ -51,11 +67,8 @@ class _Pieces(dict):
 
         self.words, self.cut = _Words(tokenizer), regex.compile(_PATTERN).findall
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[piece] = b"".join(map(self.words.__getitem__, self.cut(piece)))
-        return found
+    def made(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.cut(piece)))
 
 
 class Ids:
@@ -83,6 +96,14 @@ _END = array("I", [END_ID]).tobytes()
 _workers: dict[str | None, Ids] = {}
 
 
+def forget() -> None:
+    """Empty the caches; tasks that do not tokenise call it, so that a reused worker holds none for them."""
+    for found in _workers.values():
+        if found.pieces is not None:
+            found.pieces.clear()
+            found.pieces.words.clear()
+
+
 def document_ids(text: str | None, path: str | None = None) -> bytes:
     """Ids of a document and ``END_ID``, as little-endian uint32 bytes; the tokenizer is loaded once in each worker."""
     if path not in _workers:

@@ -92,6 +92,21 @@ def test_every_window_has_the_anchor_of_its_content():
             assert by.setdefault(body[s : s + 100], a) == a
 
 
+def test_a_units_masks_cost_little_however_many_classes_there_are():
+    import time
+
+    rnd = np.random.default_rng(5)
+    cls, want = np.sort(rnd.integers(0, 31_250, 100_000)), rnd.random((2, 100_000)) < 0.3
+    at = np.split(np.arange(len(cls)), np.flatnonzero(np.diff(cls)) + 1)
+    masks = [{"cls": int(cls[of[0]]), "bits": np.packbits(want[0][of]).tobytes(), "hot": np.packbits(want[1][of]).tobytes()} for of in at]
+    shuffled = rnd.permutation(len(cls))  # anchors come in no order of class
+    began = time.process_time()
+    keep, hot = suffix_dedup._masked(cls[shuffled], masks)
+    assert time.process_time() - began < 0.2
+    inverse = np.argsort(np.argsort(cls[shuffled], kind="stable"))
+    assert keep.tolist() == want[0][inverse].tolist() and hot.tolist() == want[1][inverse].tolist()
+
+
 def test_long_text_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 777)
     x = np.frombuffer("".join(prose(3, 60)).encode(), np.uint8)
@@ -174,8 +189,71 @@ def test_simhash(spark):
     got = simhash.near_groups(frame(spark, rows)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     assert len({c for _, _, c in expected}) < len({p for _, p, _ in expected}), "the fixture has links between different fingerprints"
-    kept = simhash.keep_one(frame(spark, rows))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, _, c in expected})
+    for scheme in (simhash.SHINGLES, simhash.NEAR):
+        assert kept_texts(simhash.keep_one(frame(spark, rows), scheme)) == brute_near(rows, scheme)
+
+
+def kept_texts(df):
+    return sorted((str(r.doc_id), r.text or "") for r in df.collect())
+
+
+def brute_near(rows, scheme):
+    """(doc_id, text) of the rows that stay: one for each class of linked texts."""
+
+    def prints(t):
+        words = (t or "").encode().lower().split()
+        out = []
+        for kind in [*scheme.prints, *([scheme.guard] if scheme.guard else [])]:
+            shingles = [b" ".join(words[i : i + kind.n]) for i in range(len(words) - kind.n + 1)] or ([b" ".join(words)] if words else [])
+            shingles = sorted(set(shingles)) if kind.distinct else shingles
+            out.append(sum((2 * sum(xxhash.xxh64_intdigest(s, kind.seed) >> b & 1 for s in shingles) > len(shingles)) << b for b in range(64)))
+        return out
+
+    found = [prints(t) for _, t in rows]
+    k = len(scheme.prints)
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            near = any((x ^ y).bit_count() <= scheme.radius for x, y in zip(found[a][:k], found[b][:k], strict=True))
+            if near and all((x ^ y).bit_count() <= scheme.guard_radius for x, y in zip(found[a][k:], found[b][k:], strict=True)):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    stay = {}
+    for g, (i, t) in zip(group, rows, strict=True):
+        me = (i is None, i or 0, hashlib.sha256((t or "").encode()).digest(), str(i), t or "")
+        stay[g] = min(stay.get(g, me), me)
+    return sorted(x[3:] for x in stay.values())
+
+
+def test_near_dedup_keeps_a_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d, e = [t for t in prose(31, 60) if len(t.split()) > 60][:5]
+    rows = [(5, a), (5, b), (None, c), (None, d), (None, e), (7, a + " x"), (None, b + " y"), (5, a), (5, a), (None, e), (8, None), (None, ""), (8, None)]
+    for scheme in (simhash.SHINGLES, simhash.NEAR):
+        for rounds in (rows, rows[::-1]):
+            got = kept_texts(simhash.keep_one(frame(spark, rounds), scheme))
+            assert got == brute_near(rounds, scheme)
+            assert {t for _, t in got} >= {c, d, e, ""} and len(got) == len(set(got))
+
+
+def test_near_copies_are_found_and_others_left_alone(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(2000)]
+    rows, near = [], []
+    for i in range(300):
+        base = rnd.choices(words, k=rnd.randrange(80, 400))
+        copy = list(base)
+        while True:  # as many words change as leave five-word shingles a similarity of 0.8, or 0.9
+            edited = list(copy)
+            edited[rnd.randrange(len(edited))] = rnd.choice(words)
+            one, two = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (base, edited))
+            if len(one & two) < (0.8 + 0.1 * (i % 2)) * len(one | two):
+                break
+            copy = edited
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    stay = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert all(2 * i in stay for i in range(300)), "no text goes but as a near copy of another"
+    gone = [2 * i + 1 not in stay for i in range(300)]
+    assert sum(gone[::2]) >= 0.8 * 150 and sum(gone[1::2]) >= 0.97 * 150 and sum(gone) >= 0.9 * 300
 
 
 def test_masks_cover_every_pair_within_the_radius():
@@ -198,8 +276,9 @@ def test_chains_of_links(spark):
             for b in rnd.sample(range(64), rnd.randrange(1, 6)):
                 p ^= 1 << b
     signed = [p - (1 << 64) if p >> 63 else p for p in rows]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "doc_id long, fp long")
-    got = dict(df.join(simhash._classes(df, 3), "fp").select("doc_id", "component_id").collect())
+    df = spark.createDataFrame([(i, b"", p) for i, p in enumerate(signed)], "doc_id long, key binary, fp0 long")
+    found = simhash._with_lows(simhash._rooted(df, simhash.SHINGLES))
+    got = dict(df.join(found, "fp0").select("doc_id", "first.doc_id").collect())
     assert got == dict(enumerate(classes(list(enumerate(rows)))))
 
 

@@ -8,42 +8,15 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from test_dedup import brute_exact, brute_fingerprint, classes
-from test_operators import brute_counts, brute_mix, true_ids
+from test_dedup import brute_exact, brute_near
+from test_operators import brute_mix, brute_quality, true_ids
 
 import corpus_pipeline
-from palimpsest.llm import pow2_packing, quality
+from palimpsest.llm import pow2_packing, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute_quality(docs, labels):
-    """doc_ids that are kept; strata by language."""
-    truth = defaultdict(list)
-    for i, q in labels:
-        truth[i].append(q)
-    found = {}
-    for i, t, lang, _ in docs:
-        c = dict(zip(quality.COUNTS, brute_counts(t), strict=True))
-        found[i] = (lang, c, c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"])
-    langs = {found[i][0] for i in truth if i in found and not found[i][2]}
-    level = quality.DELTA / (len(langs) * len(quality.RULES) * quality.GRID)
-    ratio = lambda c, r: c[quality.RULES[r][0]] / c[quality.RULES[r][1]] if c[quality.RULES[r][1]] else 0.0
-    cut = {}
-    for lang in langs:
-        held = [(min(truth[i]) > 0, found[i][1]) for i in truth if i in found and found[i][0] == lang and not found[i][2]]
-        for rule, (_, _, top) in quality.RULES.items():
-            good, bad = ([ratio(c, rule) for g, c in held if g == want] for want in (True, False))
-            for j in range(quality.GRID):
-                lost = sum(x > top * j / quality.GRID for x in good)
-                p, n = quality.RISK / len(quality.RULES), len(good)
-                if n and lost < n * p and sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lost + 1)) <= level:
-                    if any(x > top * j / quality.GRID for x in bad):
-                        cut[(lang, rule)] = top * j / quality.GRID
-                    break
-    return {i for i, (lang, c, failed) in found.items() if not failed and not any(ratio(c, r) > cut[(lang, r)] for r in quality.RULES if (lang, r) in cut)}
-
-
 def brute_take(docs):
     per, target = brute_mix([(i, t, lang, s) for i, t, lang, s in docs])
     out = []
@@ -69,8 +42,8 @@ def test_pipeline_equals_brute_force(spark):
     docs = [d for d in docs if d[0] in keep]
     stay = {r[0] for r in brute_exact([d[:2] for d in docs]) if r[3]}
     docs = [d for d in docs if d[0] in stay]
-    prints = [(d[0], brute_fingerprint(d[1])) for d in docs]
-    docs = [d for d, c in zip(docs, classes(prints), strict=True) if d[0] == c]
+    stay = {int(i) for i, _ in brute_near([d[:2] for d in docs], simhash.NEAR)}
+    docs = [d for d in docs if d[0] in stay]
     expected = Counter()
     for i, t in brute_take(docs):
         ids = true_ids(t)
