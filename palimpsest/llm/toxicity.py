@@ -5,6 +5,9 @@ the categories before it. In training those are out-of-fold predictions, so that
 learn from fitted values that an earlier one would never give on new text. Models are logistic regressions
 on hashed words, each word scaled by its log count ratio between the classes.
 
+The categories are those that the labels know: toxic text, and its two kinds, toxic prose of good quality (an insult in
+passing) and toxic junk. A kind names its parent: it is never more probable than that, and flagged only where that is.
+
 The models are fitted on at most ``max_labelled`` labelled documents, those with the smallest hash of
 doc_id (a documented bound); every document is scored.
 """
@@ -12,7 +15,6 @@ doc_id (a documented bound); every document is scored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import materialize, text_bytes
+from palimpsest.llm._shared import bodies, materialize, text_bytes, tidy
 
 MAX_LABELLED, DIMENSIONS, FOLDS, ROUNDS = 12_000, 1 << 18, 5, 80
 #: Words whose chi-square with the category is below this get no weight.
 SURPRISE = 20.0
-#: Chain: category and how a label row gives it. The last category in the list is not special; ``TOXIC`` is reported as a flag.
-CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 and quality = 0"}
-TOXIC = "toxic"
+#: Chain: category and how a label row gives it, parents first; and the parents of kinds.
+CHAIN = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic = 1 and quality = 0"}
+PARENTS = {"toxic_prose": "toxic", "toxic_junk": "toxic"}
 _BREAKS = bytes(range(0x30)) + b":;<=>?@[\\]^_`{|}~"
 _TO_SPACE = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
 
@@ -41,7 +43,7 @@ def words(body: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
 @dataclass
 class Linear:
     weights: np.ndarray  # of words; the scaling is multiplied in
-    extra: np.ndarray  # of the earlier categories' log odds
+    extra: np.ndarray  # of the earlier categories' probabilities
     bias: float
 
     def log_odds(self, index: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -92,10 +94,14 @@ def fit(index: np.ndarray, starts: np.ndarray, before: np.ndarray, y: np.ndarray
     return Linear(w * ratio, extra, bias)
 
 
+def probability(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+
+
 def fit_chain(index: np.ndarray, starts: np.ndarray, fold: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> tuple[list[Linear], list[float]]:
     """Models of the categories (columns of ``labels``) and, for each, the log odds from which it is assigned.
 
-    A later category sees the earlier ones' out-of-fold log odds; the cutoffs maximise F1 out of fold.
+    A later category sees the earlier ones' out-of-fold probabilities; the cutoffs maximise F1 out of fold.
     """
     models, cuts = [], []
     before = np.zeros((len(fold), 0))
@@ -108,13 +114,25 @@ def fit_chain(index: np.ndarray, starts: np.ndarray, fold: np.ndarray, labels: n
                 train = np.flatnonzero(fold != f)
                 model = fit(*_pick(index, starts, train), before[train], y[train], dimensions)
                 out[test] = model.log_odds(*_pick(index, starts, test), before[test])
-        out = np.clip(out, -15, 15)
         models.append(fit(index, starts, before, y, dimensions))
-        cuts.append(_best_cut(out, y))
-        before = np.column_stack([before, out])
+        cuts.append(_best_cut(np.clip(out, -30, 30), y))
+        before = np.column_stack([before, probability(out)])
     return models, cuts
 
 
+def predict_chain(models: list[Linear], cuts: list[float], own: np.ndarray, names: list[str], parents: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, flags) by document and category. ``own``: sums of the words' weights."""
+    p, flags = np.zeros(own.shape), np.zeros(own.shape, bool)
+    for k, m in enumerate(models):
+        z = np.clip(own[:, k] + p[:, :k] @ m.extra + m.bias, -30, 30)
+        p[:, k], flags[:, k] = probability(z), z > cuts[k]
+    for k, name in enumerate(names):  # once all are predicted: models see what they were trained on
+        if name in parents:
+            at = names.index(parents[name])
+            p[:, k], flags[:, k] = np.minimum(p[:, k], p[:, at]), flags[:, k] & flags[:, at]
+    return p, flags
+
+
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order])
@@ -126,20 +144,33 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order][best] + z[order][best + 1]) / 2) if best + 1 < len(z) else 0.0
 
 
+def sample(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(id, y): the ``max_labelled`` labelled documents with the least hash of doc_id; labels of absent documents take no place.
+
+    A cut of the hash that twice as many ids should pass comes first, so that no task meets many more.
+    """
+    ys = F.array(*[F.expr(rule).cast("int") for rule in chain.values()])
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), ys.alias("y")).filter("id is not null and not exists(y, v -> v is null)")
+    known = known.groupBy("id").agg(F.max("y").alias("y")).join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")
+    known = materialize(known, "known")
+    total = known.count()
+    cut = (2 * max_labelled + 100) * 2**64 // max(1, total) - 2**63
+    few = known.filter(F.xxhash64("id") < cut) if cut < 2**63 else known
+    few = few if few.count() >= max_labelled else known
+    return materialize(few.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "sample")
+
+
 def labelled_words(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> DataFrame:
     """(doc_id, y, words) of the bounded sample of labelled documents; the sample's ids are the only broadcast."""
-    ys = F.array(*[F.expr(rule).cast("int") for rule in chain.values()])
-    some = labels.select(F.col("doc_id").cast("long").alias("id"), ys.alias("y")).filter("id is not null and not exists(y, v -> v is null)")
-    some = some.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    held = text_bytes(plain, "doc_id").join(F.broadcast(materialize(some, "sample")), F.col("doc_id") == F.col("id")).select("doc_id", "y", "body")
+    held = text_bytes(plain, "doc_id").join(F.broadcast(sample(docs, labels, chain, max_labelled)), F.col("doc_id") == F.col("id")).select("doc_id", "y", "body")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [words(x or b"", dimensions).astype(np.int32) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "words"])
+    def run(texts: pa.Array) -> pa.Array:
+        tidy()
+        return pa.array([words(x, dimensions).astype(np.int32) for x in bodies(texts)], pa.list_(pa.int32()))
 
-    return held.mapInArrow(run, "doc_id long, y array<int>, words array<int>").groupBy("doc_id").agg(F.min(F.struct("y", "words")).alias("r")).select("doc_id", "r.*")
+    found = held.select("doc_id", "y", F.arrow_udf(run, "array<int>")("body").alias("words"))
+    return found.groupBy("doc_id").agg(F.min(F.struct("y", "words")).alias("r")).select("doc_id", "r.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> tuple[list[Linear], list[float]]:
@@ -147,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max
     kinds = len(chain)
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         table = table.sort_by("doc_id")
         lists = table.column("words").combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
@@ -156,39 +188,38 @@ def train(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max
         models, cuts = fit_chain(index, starts, fold, np.array(table.column("y").to_pylist()).reshape(-1, kinds), dimensions)
         return pa.table({"k": pa.array(range(kinds), pa.int32()), "weights": pa.array([m.weights.astype("<f4").tobytes() for m in models], pa.binary()), "extra": pa.array([m.extra.tolist() for m in models], pa.list_(pa.float64())), "bias": [float(m.bias) for m in models], "cut": cuts})
 
-    sample = labelled_words(docs, labels, chain, max_labelled, dimensions)
-    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "k int, weights binary, extra array<double>, bias double, cut double").collect()
+    held = labelled_words(docs, labels, chain, max_labelled, dimensions)
+    fitted = held.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "k int, weights binary, extra array<double>, bias double, cut double").collect()
     models, cuts = [Linear(np.zeros(dimensions), np.zeros(k), -10.0) for k in range(kinds)], [0.0] * kinds
     for r in fitted:
         models[r.k], cuts[r.k] = Linear(np.frombuffer(r.weights, "<f4").astype(float), np.array(r.extra, float), r.bias), r.cut
     return models, cuts
 
 
-def scored(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS, parents: dict[str, str] = PARENTS) -> DataFrame:
     """(doc_id, p_<category>..., <category> boolean...) for each row of ``docs``.
 
     Null or empty text: no words, the prior alone. Null doc_id: scored, never trained on. Label rows
     with a null are not used; without labels every probability is near 0 and nothing is flagged. A
-    document labelled twice takes the larger label; of rows with one doc_id one is trained on. An empty table
-    gives an empty result. Only doc_id and text are read.
+    document labelled twice takes the larger label; of rows with one doc_id one is trained on. Rows with equal texts score alike. An empty table
+    gives an empty result. Only doc_id and text are read. A text is read whole; beside it a task holds its distinct words.
     """
     models, cuts = train(docs, labels, chain, max_labelled, dimensions)
     names = list(chain)
-    shared = docs.sparkSession.sparkContext.broadcast((np.stack([m.weights for m in models]).astype(np.float32), [(m.extra, m.bias) for m in models]))  # kinds x dimensions weights
+    kept = {c: p for c, p in parents.items() if c in chain and p in chain}
+    shared = docs.sparkSession.sparkContext.broadcast((np.stack([m.weights for m in models]).astype(np.float32), [Linear(np.zeros(0), m.extra, m.bias) for m in models]))  # kinds x dimensions weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
+        tidy()
         weights, rest = shared.value
-        for b in batches:
-            bodies = b.column(1).to_pylist()
-            z = np.zeros((len(bodies), len(names)))
-            for i, body in enumerate(bodies):
-                z[i] = weights[:, words(body or b"", dimensions)].sum(axis=1, dtype=np.float64)
-            for k, (extra, bias) in enumerate(rest):
-                z[:, k] = np.clip(z[:, k] + z[:, :k] @ extra + bias, -15, 15)
-            p = np.round(1 / (1 + np.exp(-z)), 6)
-            flags = [pa.array(z[:, k] > cuts[k], pa.bool_()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(len(names))], *flags], ["doc_id", *[f"p_{c}" for c in names], *names])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in names) + ", " + ", ".join(f"{c} boolean" for c in names)
-    return text_bytes(plain, "doc_id").mapInArrow(run, schema)
+        own = np.zeros((len(texts), len(names)))
+        for i, body in enumerate(bodies(texts)):
+            own[i] = weights[:, words(body, dimensions)].sum(axis=1, dtype=np.float64)
+        p, flags = predict_chain(rest, cuts, own, names, kept)
+        p = np.round(p, 6)
+        columns = [*[pa.array(p[:, k]) for k in range(len(names))], *[pa.array(flags[:, k]) for k in range(len(names))]]
+        return pa.StructArray.from_arrays(columns, [*[f"p_{c}" for c in names], *names])
+
+    schema = "struct<" + ", ".join(f"p_{c}: double" for c in names) + ", " + ", ".join(f"{c}: boolean" for c in names) + ">"
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(run, schema)(F.col("text").cast("binary")).alias("r"))
+    return found.select("doc_id", "r.*")
