@@ -9,7 +9,7 @@ boundary hash if that brings the sum nearer to the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import materialize
@@ -18,6 +18,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 #: The hash has LEVELS x BITS bits; a level's histogram has 2^BITS buckets for each source.
 LEVELS, BITS = 6, 10
+#: Sources that one task orders at once.
+SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,27 +42,44 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], part_rows: int) -> DataFrame:
+    """``rows`` with the sums, by ``order``, over all rows before each. ``rows``: a written table.
+
+    Up to ``part_rows`` rows are one task's work. More are dealt into ranges of the order: within a range a window sums, and what comes
+    before it is a row for each range.
+    """
+    ranges = -(-rows.count() // part_rows)
+    if ranges <= 1:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()])
+    dealt = materialize(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    carry = per.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    own = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()])
+    return own.join(carry, "_range").select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, part_rows: int = SOURCES) -> DataFrame:
     """(src, source_size, target): one row for each source.
 
     Sources by code point, null last, take the weights in turn. All sizes are shared by weight; a
     target stops at ``max_copies`` times its source's size and the excess is shared again by weight.
     That ends at target = min(cap, level x weight): in order of cap / weight, the sources before the level
-    are the capped ones. One task sees one row for each source.
+    are the capped ones. A task sees ``part_rows`` sources, however many there are.
     """
-    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
-    code_points = Window.orderBy(F.when(F.col("src") == "n", 1).otherwise(0), "src")
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = materialize(sizes.groupBy("src").agg(F.sum("size").alias("source_size")), "sources")
+    place = _before(per, [F.when(F.col("src") == "n", 1).otherwise(0).asc(), F.col("src").asc()], {"place": F.lit(1)}, part_rows)
     n = len(weights)
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(code_points) - 1, F.lit(n)) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * max_copies).withColumn("total", F.sum("source_size").over(every))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), "src").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("capped", F.coalesce(F.sum("cap").over(by_ratio), F.lit(0)))
-    per = per.withColumn("rest_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(by_ratio), F.lit(0.0)))
-    level = (F.col("total") - F.col("capped")) / F.col("rest_w")
+    per = place.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(n)) + 1).cast("int"))).drop("place")
+    per = materialize(per.withColumn("cap", F.col("source_size") * max_copies), "weighed")
+    total, all_w = per.agg(F.sum("source_size")).scalar(), per.agg(F.sum("w")).scalar()
+    ranked = _before(per, [(F.col("cap") / F.col("w")).asc(), F.col("src").asc()], {"capped": F.col("cap"), "before_w": F.col("w")}, part_rows)
+    ranked = materialize(ranked.select("*", ((total - F.col("capped")) / (all_w - F.col("before_w"))).alias("level")), "ranked")
     # the first source in this order whose cap is not below its level sets the level; from there on it only falls
-    per = per.withColumn("level", F.max(F.when(F.col("cap") >= level * F.col("w"), level)).over(every))
-    return per.select("src", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
+    level = ranked.agg(F.max(F.when(F.col("cap") >= F.col("level") * F.col("w"), F.col("level")))).scalar()
+    return ranked.select("src", "source_size", F.least(F.col("cap").cast("double"), level * F.col("w")).alias("target"))
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -104,6 +123,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     ``taken`` is a multiple of the document's size. Null or empty text: size 0, takes nothing. A null
     source is a source, last in order. Rows with the same doc_id share a hash and are taken
     together. A source without words has target 0. An empty table gives an empty result. Reruns agree, on any layout.
+    Other columns, whatever their names, are not read; words are counted in the JVM, over the whole text.
     """
     sizes = materialize(sized(docs), "sizes")
     return sizes.join(plan(sizes), "src").select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
