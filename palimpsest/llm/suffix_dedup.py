@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm._shared import materialize, text_bytes
 
 LENGTH, GRAM = 100, 24
-#: Text bytes of a unit, of a class of anchor hashes, and of a class of segments (sizes of work, not limits).
-UNIT_BYTES, HASH_CLASS_BYTES, SEGMENT_CLASS_BYTES = 4_000_000, 32_000_000, 2_000_000
+#: Text bytes of a unit, of a class of anchor hashes, and of a class of segments, each from the least to the most (sizes of work,
+#: not limits). A unit sends a row to each class, so both grow with the corpus: else at 100 TB each hash would be a row of its own.
+UNIT_BYTES, HASH_CLASS_BYTES, SEGMENT_CLASS_BYTES = (4_000_000, 64_000_000), (32_000_000, 512_000_000), (2_000_000, 8_000_000)
 #: Occurrences from which an anchor is hot: its windows are dealt by their own content.
 HOT = 4096
 #: Window starts that are hashed at once.
@@ -177,7 +178,7 @@ def repeats(text: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 # --------------------------------------------------------------------------- units
-def units(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+def units(docs: DataFrame, unit_bytes: int = UNIT_BYTES[0]) -> DataFrame:
     """(unit, doc_ids, sizes, keys, body): texts packed and compressed; unit is unique, keys are digests of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +233,24 @@ def _hash_classes(h: np.ndarray, classes: int) -> np.ndarray:
     return ((h >> _U(40)) % _U(classes)).astype(np.int64)
 
 
+def _masked(cls: np.ndarray, masks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors, by their classes ``cls``, the masks (cls, bits, hot) of a unit name as repeated, and which as hot.
+
+    Anchors are sorted by class once and each mask takes its slice, so a unit's work does not grow with the corpus' classes.
+    """
+    keep, hot = np.zeros(len(cls), bool), np.zeros(len(cls), bool)
+    order = np.argsort(cls, kind="stable")
+    ordered, named = cls[order], np.array([m["cls"] for m in masks], np.int64)
+    starts = np.searchsorted(ordered, named)
+    sizes = np.searchsorted(ordered, named, "right") - starts
+    widths = (sizes + 7) // 8
+    at, bit = order[_spread(starts, sizes)], _spread(8 * (np.cumsum(widths) - widths), sizes)
+    for into, name in ((keep, "bits"), (hot, "hot")):
+        data = b"".join(bytes(w) if m[name] is None else m[name] for m, w in zip(masks, widths.tolist(), strict=True))
+        into[at] = np.unpackbits(np.frombuffer(data, np.uint8))[bit]
+    return keep, hot
+
+
 def later_copies(found: DataFrame, length: int) -> DataFrame:
     """(unit, skip): in each unit the documents that equal an earlier one as a whole and are at least ``length`` long."""
     rows = found.select("unit", F.posexplode(F.arrays_zip("doc_ids", "sizes", "keys")).alias("ord", "x"))
@@ -286,12 +305,7 @@ def marked(found: DataFrame, hash_classes: int, segment_classes: int, length: in
                 doc, h, first, count = u.segments(length, gram)
                 distinct = np.unique(h & _NAME)
                 cls = _hash_classes(distinct, hash_classes)
-                keep, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-                for m in masks:
-                    of = np.flatnonzero(cls == m["cls"])
-                    keep[of] = np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: len(of)]
-                    if m["hot"] is not None:
-                        hot[of] = np.unpackbits(np.frombuffer(m["hot"], np.uint8))[: len(of)]
+                keep, hot = _masked(cls, masks)
                 at = np.searchsorted(distinct, h & _NAME)
                 few, many = np.flatnonzero(keep[at] & ~hot[at]), np.flatnonzero(hot[at])
                 # windows of a hot anchor part company: each is a segment of its own, dealt by its content
@@ -356,16 +370,27 @@ def marked(found: DataFrame, hash_classes: int, segment_classes: int, length: in
     return sent.groupBy("cls").applyInArrow(refine, "unit long, marks binary")
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes: int = UNIT_BYTES, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def _between(limits: tuple[int, int], size: int) -> int:
+    return min(max(size, limits[0]), limits[1])
+
+
+def _estimate(docs: DataFrame) -> int:
+    """About how many bytes the documents have, as the optimizer sees it before anything is read."""
+    return int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes: int | None = None, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]), a row for each row of ``docs``.
 
     ``spans``: (start, end) of the maximal removed runs of bytes; ``kept``: the remaining bytes. Null text: empty. Null
     doc_id: before all others. Rows that share a doc_id follow each other in the order of the input's layout;
-    the first keeps its text. Texts shorter than ``length`` are whole. An empty table gives an empty result.
+    the first keeps its text. Texts shorter than ``length`` are whole. An empty table gives an empty result. A text is held whole by the
+    task that packs its unit; its windows are hashed in chunks. Columns but doc_id and text are not read.
     """
-    found = materialize(units(docs, unit_bytes), "units")
+    found = materialize(units(docs, unit_bytes or _between(UNIT_BYTES, _estimate(docs) // 25_000)), "units")
     total = found.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    hash_classes, segment_classes = max(16, -(-total // HASH_CLASS_BYTES)), max(32, -(-total // SEGMENT_CLASS_BYTES))
+    hash_classes = max(16, -(-total // _between(HASH_CLASS_BYTES, total // 8192)))
+    segment_classes = max(32, -(-total // _between(SEGMENT_CLASS_BYTES, total // 100_000)))
     skips = later_copies(found, length)
     anchors = repeated_anchors(found.drop("doc_ids", "keys").join(skips, "unit", "left"), hash_classes, length, gram, hot)
     masks = materialize(anchors.groupBy("unit").agg(F.collect_list(F.struct("cls", "bits", "hot")).alias("masks")).join(skips, "unit", "left"), "masks")
