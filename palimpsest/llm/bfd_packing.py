@@ -88,8 +88,9 @@ def packed(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None
     ``ids``: ``row_length`` little-endian uint32, padded with ``PAD_ID``; ``cu_seqlens``: 0 and the end of each segment;
     ``positions``: int32, from 0 in each segment and in the padding; ``doc_ids`` and ``starts``: document of each
     segment and the ids before it there. ``sequence_id`` is unique and the same for the same layout of the input. A
-    null text is an empty one: the end id alone. Null doc_ids stay null; repeated rows are packed again; an empty
-    table gives an empty result.
+    null text is an empty one: the end id alone. Null doc_ids stay null; repeated rows are packed again; segments that tie in length come in
+    the order of the input; an empty table gives an empty result. Other columns, whatever their names, are not read. A text is
+    tokenised whole; a task holds the ids of a window, or of one text if that is longer.
     """
     return _rows(docs, row_length, tokenizer, window_ids, _as_matrix, SCHEMA)
 

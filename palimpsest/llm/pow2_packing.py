@@ -70,8 +70,9 @@ def packed(docs: DataFrame, longest: int = MAX_LENGTH, tokenizer: str | None = N
 
     A sequence holds one piece, at offset 0. Sequence ids have no gaps; the longest bucket comes first, within a
     bucket the tasks that cut the pieces follow each other: only their counts are summed, no piece is
-    moved. Repeated rows give repeated pieces in sequences of their own; null doc_ids are kept; an empty
-    table gives an empty result. ``ids`` are little-endian unsigned 32-bit.
+    moved. Repeated rows give repeated pieces in sequences of their own, in any order; null doc_ids are kept; a null text is an empty one;
+    an empty table gives an empty result. ``ids`` are little-endian unsigned 32-bit. Other columns, whatever their names, are not
+    read. A text is tokenised whole, and a task holds its ids, four bytes each.
     """
     found = materialize(cut(docs, longest, tokenizer, with_ids), "pieces")
     per = found.groupBy("length", "task").count()
