@@ -1,27 +1,30 @@
 """Quality rules with risk-controlled thresholds.
 
-Base rules have fixed limits. On top of them each rule (a ratio of two counts) gets a cutoff per
-stratum: the tightest of a fixed grid whose false rejection of good documents is certified on the
-labelled holdout. Certified: the exact (Clopper-Pearson) upper bound of the share of good documents
-beyond the cutoff, at a level corrected for all stratum x rule x cutoff tests (Bonferroni), is at most
-the rule's part of the risk. The parts add up to ``risk``, so with probability 1 - ``delta`` no
-stratum loses more than ``risk`` of its good documents to the cutoffs. A rule without any certified
-cutoff in a stratum rejects nothing there.
+Base rules have fixed limits. On top of them each stratum (language) gets cutoffs of four ratios that are certified on
+labelled documents to reject few good ones. The labelled documents of a stratum, one for each distinct text, are parted in
+two by their digest:
+
+1. The *tuning* part orders the candidates: a path of cutoff vectors from loose to tight. It starts well beyond the largest
+   ratio of a good tuning document, closes in on it, and then lets go of growing shares of them.
+2. The *holdout* part certifies along the path: the exact (Clopper-Pearson) upper bound of the share of good documents that a
+   vector rejects, by all its cutoffs together, must be at most ``risk``. Vectors are tested in order until the first that
+   fails. Such a fixed sequence needs no correction for its length; strata are many tests, each at ``delta`` / strata (Bonferroni).
+
+With probability 1 - ``delta`` no stratum's certified vectors reject more than ``risk`` of its good documents. Of the certified ones
+that is used which parts bad from good tuning documents best. A stratum with too few good labels (93 in the holdout with
+four strata, if none is lost) has no certified vector, and the base rules alone decide there.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from palimpsest.llm._shared import materialize, text_bytes
+from palimpsest.llm._shared import bodies, fresh, materialize, text_key, tidy
 
 RISK, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEATED_PER_CENT, WINDOW = 50, 50, 3
@@ -34,6 +37,9 @@ RULES = {
     "word_length": ("word_chars", "n_words", 32.0),
 }
 GRID = 64
+#: The path: so many grid steps beyond all good tuning documents, then so many of SHARES parts of the risk of them let go.
+MARGINS, SHARES = (16, 8, 4, 2, 1), 8
+STEPS = len(MARGINS) + SHARES + 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -50,35 +56,49 @@ _NOT_IN_WORDS = SPACES + bytes(range(0x80, 0xC0))
 
 
 def repeated(words: list[bytes], window: int = WINDOW) -> int:
-    """Words that lie in a window that occurs twice or more in the text."""
-    windows = list(zip(*[words[i:] for i in range(window)], strict=False))
-    if len(set(windows)) == len(windows):
+    """Words that lie in a window that occurs twice or more in the text. Windows are numbers: eight bytes each, however long the text."""
+    n = len(words) - window + 1
+    if n < 2:
         return 0
-    often = Counter(windows)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    code, distinct = ids[:n], len(number)
+    for i in range(1, window):
+        if distinct * len(number) >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            distinct = len(found)
+        code, distinct = code * len(number) + ids[i : i + n], distinct * len(number)
+    ordered = np.sort(code)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    at = np.isin(code, twice)
     hit = np.zeros(len(words), bool)
-    at = np.fromiter((often[w] > 1 for w in windows), bool, len(windows))
     for i in range(window):
-        hit[i : i + len(at)] |= at
+        hit[i : i + n] |= at
     return int(hit.sum())
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, counts..., base_failed) for each row; the stratum is the language, null for none; a null text has no words."""
-    plain = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("lang").cast("string").alias("stratum"),
-        F.col("text").alias("text"),
-    )
+def _counted() -> Column:
+    """STRUCT of ``COUNTS`` of the text: only texts go to Python, the other columns stay in the JVM."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        tidy()
+        got = np.array([counts(x) for x in bodies(texts)], np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(COUNTS))], list(COUNTS))
+
+    return F.arrow_udf(run, "struct<" + ", ".join(f"{c}: long" for c in COUNTS) + ">")(F.col("text").cast("binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [counts(x or b"") for x in b.column(2).to_pylist()]
-            found = [pa.array(np.array([x[i] for x in got], np.int64)) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], ["doc_id", "stratum", *COUNTS])
 
-    out = text_bytes(plain, "doc_id", "stratum").mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PER_CENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+def _failed(part: str = "") -> Column:
+    words, again = F.col(f"{part}n_words"), F.col(f"{part}n_repeat_words")
+    return (words < MIN_WORDS) | (100 * again > MAX_REPEATED_PER_CENT * words)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, stratum, key, counts..., base_failed) for each row; the stratum is the language, null for none; a null text has no words."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text_key().alias("key"), _counted().alias("c"))
+    return found.select("doc_id", "stratum", "key", "c.*").withColumn("base_failed", _failed())
 
 
 def _log_tail(k: int, n: int, p: float) -> float:
@@ -95,103 +115,151 @@ def certified(k: int, n: int, risk: float, level: float) -> bool:
     return n > 0 and k < n * risk and _log_tail(k, n, risk) <= math.log(level)
 
 
-def _bin(num: str, den: str, top: float):
+def _bin(num: Column, den: Column, top: float) -> Column:
     """The number of grid cutoffs c = top * j / GRID (j = 0 .. GRID - 1) that the ratio exceeds; 0 without a denominator."""
-    exact = F.ceil(F.col(num) * GRID / (F.col(den) * F.lit(top)))
-    return F.when(F.col(den) > 0, F.least(exact, F.lit(GRID))).otherwise(0).cast("int")
+    exact = F.ceil(num * GRID / (den * F.lit(top)))
+    return F.when(den > 0, F.least(exact, F.lit(GRID))).otherwise(0).cast("int")
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, a column for each rule): a document is rejected if its ratio exceeds cutoff j of the rule; null: no cutoff.
+def _bins(part: str = "") -> dict[str, Column]:
+    return {rule: _bin(F.col(f"{part}{num}"), F.col(f"{part}{den}"), top) for rule, (num, den, top) in RULES.items()}
+
+
+def path(good: np.ndarray, bad: np.ndarray, risk: float) -> np.ndarray:
+    """Cutoffs by step and rule (GRID: none), loose to tight. ``good``, ``bad``: tuning documents by rule and bin.
+
+    At a step a rule's cutoff is the least that at most the step's share of the good exceed, plus the step's
+    margin. A cutoff that no bad document exceeds stays out.
+    """
+    # beyond[r, j]: documents that cutoff j rejects (those in bins above j)
+    beyond = lambda n: n.sum(axis=1, keepdims=True) - np.cumsum(n, axis=1)
+    lost, caught = beyond(good), beyond(bad)
+    out = np.full((STEPS, len(RULES)), GRID)
+    for s in range(STEPS):
+        share = max(0, s - len(MARGINS)) * risk / SHARES
+        for r in range(len(RULES)):
+            j = int(np.argmax(lost[r] <= share * good[r].sum()))
+            j = min(j + (MARGINS[s] if s < len(MARGINS) else 0), GRID)
+            if caught[r, j]:
+                out[s, r] = j
+    return np.minimum.accumulate(out, axis=0)
+
+
+def chosen_step(good: np.ndarray, bad: np.ndarray, tuning_good: np.ndarray, tuning_bad: np.ndarray, risk: float, level: float) -> int | None:
+    """The step to use. Arrays: documents by the first step that rejects them (STEPS: none); ``good`` of the holdout, the others of the tuning part.
+
+    Steps are certified in order until one fails. Of those, the first that parts bad from good best; None if that is no
+    better than to reject nothing.
+    """
+    best, step = 0.0, None
+    share = lambda n, s: n[: s + 1].sum() / max(1, n.sum())
+    for s in range(STEPS):
+        if not certified(int(good[: s + 1].sum()), int(good.sum()), risk, level):
+            break
+        gain = share(tuning_bad, s) - share(tuning_good, s)
+        if gain > best:
+            best, step = gain, s
+    return step
+
+
+def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, holdout, good, a bin for each rule): the labelled documents that pass the base rules, one for each distinct text of a stratum.
 
-    ``found``: features. All labelled documents that pass the base rules are counted, by stratum,
-    rule, bin and label; one task reads at most rules x (GRID + 1) x 2 counts of a stratum, and only the number of
-    strata comes to the driver. A document labelled twice counts once, as good only if all its labels are.
-    Strata without any cutoff are left out: one with a cutoff has hundreds of good labels.
+    A document labelled twice, or a text that several labelled documents share, is good only if all its labels say so.
     """
     one = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).filter("q is not null and id is not null")
     one = one.groupBy("id").agg(F.min("q").alias("q"))
-    binned = found.filter(~F.col("base_failed")).select("doc_id", "stratum", *[_bin(*r).alias(name) for name, r in RULES.items()])
-    held = binned.join(one, binned["doc_id"] == one["id"])
-    long = held.select("stratum", (F.col("q") > 0).alias("good"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
-    table = materialize(long.groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n")), "counts")
-    level = delta / max(1, table.select("stratum").distinct().count() * len(RULES) * GRID)
+    bins = found.filter(~F.col("base_failed")).select("doc_id", "stratum", "key", *[c.alias(r) for r, c in _bins().items()])
+    held = bins.join(one, bins["doc_id"] == one["id"]).groupBy("stratum", "key").agg((F.min("q") > 0).alias("good"), *[F.first(r).alias(r) for r in RULES])
+    return held.select("stratum", (F.substring(F.hex("key"), 1, 1) >= "8").alias("holdout"), "good", *RULES)
+
+
+def _first_step(rule: str) -> Column:
+    """The first step whose cutoff of the rule lies below the document's bin; STEPS: none."""
+    at = F.array_position(F.transform(f"w.{rule}", lambda j: j < F.col(rule)), F.lit(True))
+    return F.when(at > 0, at - 1).otherwise(STEPS).cast("int")
+
+
+def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, a column for each rule): a document is rejected if its bin exceeds the rule's cutoff; GRID: no cutoff.
+
+    Labels are counted by stratum, part, label and bins. A task reads a stratum's tuning counts (at most
+    rules x (GRID + 1) x 2) for its path and its counts by step for the certificate; only the number of strata comes to the
+    driver. Strata without cutoffs are left out: one with any has a hundred good labels.
+    """
+    held = materialize(labelled(found, labels), "labelled")
+    level = delta / max(1, held.select("stratum").distinct().count())
+    paths = "stratum string, " + ", ".join(f"{r} array<int>" for r in RULES)
+
+    def order(rows: pa.Table) -> pa.Table:
+        n = np.zeros((2, len(RULES), GRID + 1), np.int64)
+        for r in rows.to_pylist():
+            n[int(r["good"]), r["rule"], r["bin"]] += r["n"]
+        steps = path(n[1], n[0], risk)
+        return pa.table({"stratum": pa.array(rows.column("stratum").to_pylist()[:1], pa.string()), **{r: pa.array([steps[:, i].tolist()], pa.list_(pa.int32())) for i, r in enumerate(RULES)}})
+
+    long = held.filter("not holdout").select("stratum", "good", F.posexplode(F.array(*RULES)).alias("rule", "bin"))
+    ways = materialize(long.groupBy("stratum", "good", "rule", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("stratum").applyInArrow(order, paths), "paths")
+    first = F.least(*map(_first_step, RULES))
+    w = ways.select(F.col("stratum").alias("_stratum"), F.struct(*RULES).alias("w"))
+    stepped = held.join(w, F.col("stratum").eqNullSafe(F.col("_stratum"))).groupBy("stratum", "holdout", "good", first.alias("step")).agg(F.count(F.lit(1)).alias("n"))
 
     def choose(rows: pa.Table) -> pa.Table:
-        seen = {rule: (np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)) for rule in RULES}
+        n = np.zeros((2, 2, STEPS + 1), np.int64)
         for r in rows.to_pylist():
-            seen[r["rule"]][0 if r["good"] else 1][r["bin"]] += r["n"]
-        chosen = dict.fromkeys(RULES)
-        for rule, (good, bad) in seen.items():
-            # bin b exceeds cutoffs 0 .. b - 1: cutoff j rejects the bins above j
-            for j in range(GRID):
-                if certified(int(good[j + 1 :].sum()), int(good.sum()), risk / len(RULES), level):
-                    if bad[j + 1 :].sum():
-                        chosen[rule] = j
-                    break
-        return pa.table({"stratum": pa.array([rows.column("stratum")[0].as_py()], pa.string()), **{rule: pa.array([j], pa.int32()) for rule, j in chosen.items()}})
+            n[int(r["holdout"]), int(r["good"]), r["step"]] += r["n"]
+        step = chosen_step(n[1, 1], n[1, 0], n[0, 1], n[0, 0], risk, level)
+        return pa.table({"stratum": pa.array(rows.column("stratum").to_pylist()[:1], pa.string()), "step": pa.array([step], pa.int32())})
 
-    made = table.groupBy("stratum").applyInArrow(choose, "stratum string, " + ", ".join(f"{r} int" for r in RULES))
-    return materialize(made.filter(" or ".join(f"{r} is not null" for r in RULES)), "cutoffs")
+    steps = stepped.groupBy("stratum").applyInArrow(choose, "stratum string, step int").filter("step is not null")
+    s = steps.select(F.col("stratum").alias("_stratum"), "step")
+    picked = ways.join(s, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    return materialize(picked.select("stratum", *[F.get(r, F.col("step")).alias(r) for r in RULES]), "cutoffs")
 
 
-def _with_cutoffs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``rows`` (stratum, ...) with ``cut``, a struct of the stratum's cutoffs or null.
+def _with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, a struct of the stratum's cutoffs or null.
 
-    A language may hold most rows, so its few cutoffs are broadcast: a row for each of at most (labels / hundreds) strata.
+    A language may hold most rows, so its few cutoffs are broadcast: a row for each of at most (labels / a hundred) strata.
     """
-    cut = chosen.select(F.col("stratum").alias("_stratum"), F.struct(*RULES).alias("cut"))
-    return rows.join(F.broadcast(cut), F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+    key = fresh("cut_stratum", rows.columns)
+    cut = chosen.select(F.col("stratum").alias(key), F.struct(*RULES).alias(name))
+    return rows.join(F.broadcast(cut), stratum.eqNullSafe(F.col(key)), "left").drop(key)
+
+
+def _beyond(cut: str, part: str = "") -> Column:
+    beyond = F.lit(False)
+    for rule, found in _bins(part).items():
+        beyond = beyond | F.coalesce(found > F.col(f"{cut}.{rule}"), F.lit(False))
+    return beyond
 
 
 def verdicts(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``found`` with ``kept``: not base_failed and beyond no cutoff of its stratum."""
-    rows = _with_cutoffs(found, cutoffs(found, labels, risk, delta))
-    beyond = F.lit(False)
-    for rule, parts in RULES.items():
-        beyond = beyond | F.coalesce(_bin(*parts) > F.col(f"cut.{rule}"), F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("cut")
+    rows = _with_cutoffs(found, cutoffs(found, labels, risk, delta), F.col("stratum"), "cut")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~_beyond("cut")).drop("cut")
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row.
 
     Null text: no words, so base_failed. Null lang: a stratum of its own. Null doc_id: judged, but
-    never labelled. Labels that are null, or of no document, do not count; no labels at all: the base
-    rules alone decide. An empty table gives an empty result. Other columns are not read.
+    never labelled. Repeated rows are judged alike and count as one label. Labels that are null, or of no document, do not
+    count; no labels at all: the base rules alone decide. An empty table gives an empty result. Other columns are not read. A text is read whole;
+    beside it a task holds its words and eight bytes for each of them.
     """
     found = materialize(features(docs), "features")
     return verdicts(found, labels, risk, delta).select("doc_id", *COUNTS[:-1], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns and in one pass over the texts after calibration.
+    """The rows of ``docs`` that are kept, with all their columns.
 
-    The counts of each row are computed beside it, so neither repeated doc_ids nor clashing names matter.
+    The rows are written once with their counts beside them; cutoffs are found on the counts, and the same rows are then filtered.
+    So texts are counted once and never shuffled, and neither repeated doc_ids nor clashing names matter.
     """
-    found = materialize(features(docs), "features")
-    chosen = cutoffs(found, labels, risk, delta)
-    return _filtered(docs, chosen)
-
-
-def _filtered(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    parts = {r: (COUNTS.index(num), COUNTS.index(den), top) for r, (num, den, top) in RULES.items()}
-
-    def beyond(c: tuple, cut: dict[str, int | None]) -> bool:
-        for rule, (num, den, top) in parts.items():
-            if cut[rule] is not None and c[den] > 0 and min(math.ceil(c[num] * GRID / (c[den] * top)), GRID) > cut[rule]:
-                return True
-        return False
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for body, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                c = counts(body or b"")
-                ok = c[0] >= MIN_WORDS and 100 * c[4] <= MAX_REPEATED_PER_CENT * c[0]
-                keep.append(ok and not (cut and beyond(c, cut)))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
-
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("lang").cast("string").alias("stratum"), F.col("text").cast("binary").alias("body"))
-    return _with_cutoffs(rows, chosen).select("row", "body", "cut").mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    c, cut = fresh("counts", docs.columns), fresh("cut", docs.columns)
+    rows = materialize(docs.withColumn(c, _counted()), "counted")
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text_key().alias("key"), f"{c}.*").withColumn("base_failed", _failed())
+    marked = _with_cutoffs(rows, cutoffs(found, labels, risk, delta), F.col("lang").cast("string"), cut)
+    return marked.filter(~_failed(f"{c}.") & ~_beyond(cut, f"{c}.")).select(*[F.col(f"`{x}`") for x in docs.columns])

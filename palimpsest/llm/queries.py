@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bfd_packing, exact_dedup, mixing, pow2_packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
+from palimpsest.llm import bfd_packing, exact_dedup, mixing, oracles, pow2_packing, quality, sharding, simhash, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,4 +102,4 @@ FROM d JOIN budget b USING (src) LEFT JOIN cut c USING (src)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3, "op4_mixing": _OP4}
+    return {"op1_suffix_dedup": oracles.OP1, "op3_exact_dedup": _OP3, "op4_mixing": _OP4, "op5_quality": oracles.OP5}
