@@ -149,6 +149,14 @@ def kv_multi_get(spark, sf_dir):
     return snapshot.multi_get(log, asked, _now(log))
 
 
+@query("SELECT a.key, live.key IS NOT NULL AS hit, live.value FROM (SELECT 'user:' || o_custkey AS key FROM orders) a LEFT JOIN live USING (key)")
+def kv_multi_get_orders(spark, sf_dir):
+    """A lookup for each order: ten times as many as customers, many of the same keys."""
+    log = _log(spark, sf_dir)
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("user:"), F.col("o_custkey").cast("string")).alias("asked"))
+    return snapshot.multi_get(log, asked, _now(log))
+
+
 @query("SELECT key, value FROM live WHERE key >= 'user:1' AND key < 'user:5'")
 def kv_range_scan(spark, sf_dir):
     log = _log(spark, sf_dir)
