@@ -50,8 +50,8 @@ def tidy() -> None:
     if tokens := sys.modules.get("palimpsest.llm.tokens"):
         tokens.forget()
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    if trim := sys.platform == "linux" and getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library that most systems have
+        trim(0)
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
