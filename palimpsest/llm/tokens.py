@@ -14,7 +14,7 @@ from array import array
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Bytes of pieces, and of words, that a worker keeps; at the limit it starts anew. A bound of memory only: results do not depend on it.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 80 << 20
 #: What an entry costs besides its text and ids.
 ENTRY = 200
 #: Characters below U+0300 are normalised one by one; left out are control characters, other spaces,
