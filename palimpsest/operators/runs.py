@@ -52,6 +52,7 @@ def floor_search(index: DataFrame, probes: DataFrame, rows: int) -> DataFrame:
     row for each range, and carries entries on in one ordered pass. ``rows``: about how many there are.
     """
     spark = index.sparkSession
+    index = materialize(index.select("key", "offset"), "index")  # ranges are found by a pass of their own over both sides
     entries = index.select(F.col("key").alias("k"), F.lit(0).alias("kind"), F.struct(F.col("key").alias("key"), F.col("offset").alias("offset")).alias("entry"))
     asked = probes.select(F.col("probe").alias("k"), F.lit(1).alias("kind"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
     both = entries.unionByName(asked).withColumn("tie", F.monotonically_increasing_id())
